@@ -23,7 +23,7 @@ def query(oracle: str | None = None):
 
 
 def _load() -> None:
-    from corpuloom.plans import text_queries, user_queries  # noqa: F401
+    from corpuloom.plans import model_queries, text_queries, user_queries  # noqa: F401
 
 
 _load()
