@@ -34,7 +34,9 @@ from corpuloom.llm.common import own
 from corpuloom.llm.components import components
 from corpuloom.session import Scratch, ship
 
-BLOCKS, EXPECT, BLOCK = 4, 40, 1024
+BLOCKS, EXPECT, BLOCK = 4, 40, 512
+#: Rows of the verifying exchange that one task gets, about: each carries a vector.
+TASK_ROWS = 40_000
 
 
 def codebooks(dim: int, codes: int, seed: int = 7) -> list[tuple[int, int, np.ndarray]]:
@@ -74,6 +76,7 @@ def decode(x: np.ndarray, books: list[tuple[int, int, np.ndarray]], expect: int)
 
 def _listed(batches, codes: int, expect: int):
     books: dict[int, list] = {}
+    part_type = pa.list_(pa.int32() if codes**BLOCKS < 1 << 31 else pa.int64())
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -87,7 +90,7 @@ def _listed(batches, codes: int, expect: int):
                 for i, found in zip(places, decode(x / np.linalg.norm(x, axis=1)[:, None], own_books, expect)):
                     lists[i] = found
             yield pa.RecordBatch.from_arrays(
-                [part.column("class"), part.column("copies"), part.column("vector"), pa.array(lists, pa.list_(pa.int64()))],
+                [part.column("class"), part.column("copies"), part.column("vector"), pa.array(lists, part_type)],
                 ["class", "copies", "vector", "filters"],
             )
 
@@ -162,7 +165,9 @@ def near_dedup(spark: SparkSession, vectors: DataFrame, least: float = 0.95, exp
     """A row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
     ship(spark)
     scratch = Scratch(spark, "vectors")
-    v = F.col("embedding").cast("array<double>")
+    given = vectors.schema["embedding"].dataType.simpleString()
+    kind = given if given in ("array<float>", "array<double>") else "array<double>"
+    v = F.col("embedding").cast(kind)
     usable = (
         F.coalesce(F.size(v) > 0, F.lit(False))
         & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -179,7 +184,7 @@ def near_dedup(spark: SparkSession, vectors: DataFrame, least: float = 0.95, exp
     codes = max(16, math.ceil((expect * max(count, 1) / 64) ** (1 / BLOCKS)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = scratch.table(
-        classes.repartition(parts).mapInArrow(partial(_listed, codes=codes, expect=expect), "class long, copies long, vector array<double>, filters array<long>"),
+        classes.repartition(parts).mapInArrow(partial(_listed, codes=codes, expect=expect), f"class long, copies long, vector {kind}, filters array<{'int' if codes**BLOCKS < 1 << 31 else 'long'}>"),
         "listed",
     )
     members = listed.select("class", F.size("vector").alias("dim"), F.explode("filters").alias("filter"))
@@ -187,7 +192,9 @@ def near_dedup(spark: SparkSession, vectors: DataFrame, least: float = 0.95, exp
     dealt = blocks.deal(members, ["dim", "filter"], "class", block)
     dealt = dealt.join(listed.select(F.col("class").alias("l_class"), "copies", "vector", "filters"), F.col("class") == F.col("l_class")).drop("l_class")
     found = scratch.table(
-        dealt.repartition(parts, *key).sortWithinPartitions(*key, "class").mapInArrow(partial(_verify, key=key, least=least), "a long, b long, n long"), "found"
+        dealt.repartition(max(parts, -(-count * expect // TASK_ROWS)), *key).sortWithinPartitions(*key, "class")
+        .mapInArrow(partial(_verify, key=key, least=least), "a long, b long, n long"),
+        "found",
     )
     counts = found.where(F.col("n").isNotNull()).groupBy(F.col("a").alias("c_class")).agg(F.sum("n").alias("links"))
     roots = components(scratch, found.where(F.col("b").isNotNull()).select("a", "b"))
