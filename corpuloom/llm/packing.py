@@ -16,6 +16,8 @@ rows of their own. Extra columns are ignored. No rows: no rows.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import partial
 
@@ -29,16 +31,24 @@ from corpuloom.llm.common import own
 from corpuloom.session import Scratch, ship
 
 CAPACITY, GRAIN, SEPARATOR = 2048, 16, 1
-CACHE = 400_000
+CACHE = 700_000
+#: Lower-case letters of one code point each, alike in every Unicode form.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_TAIL = b".,;:!?"
+#: Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 _coders: dict[str, "Words"] = {}
 
 
 class Words(dict):
     """Token ids of words, as little-endian 32-bit bytes.
 
-    The tokenizer never merges across white space and lower-cases anyway, so a text's ids are
-    those of its words in a row. Special tokens are found in raw text: texts that hold "<|" go
-    through whole.
+    Where the tokenizer lower-cases, cuts at white space and then into runs of letters, single
+    digits and runs of the rest, a text's ids are those of its words in a row, so words are looked
+    up; a word of letters alone goes straight to the tokenizer's model, and punctuation behind it is
+    a piece of its own. Special tokens are found in raw text: texts that hold "<|" go through
+    whole, as do all texts of tokenizers of another build.
     """
 
     def __init__(self, path: str):
@@ -46,17 +56,39 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        made = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        self.by_word = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": pattern}
+            and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+        )
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        core = word.rstrip(_TAIL)
+        if _LETTERS.fullmatch(core.decode().lower()):
+            if core != word:
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                piece = core.decode().lower().encode().decode("latin-1").translate(_BYTES)
+                ids = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        else:
+            ids = self._encoded(word.decode())
         if len(self) >= CACHE:
             self.clear()
         self[word] = ids
         return ids
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" in text:
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.by_word or b"<|" in text:
+            return self._encoded(text.decode())
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
