@@ -144,7 +144,7 @@ def negative(vector: Column) -> Column:
 
 
 def sparse_get(vector: Column, idx: Column | int) -> Column:
-    return F.coalesce(F.filter(vector, lambda p: p["idx"] == idx)[0]["val"], F.lit(0.0))
+    return F.coalesce(F.get(F.filter(vector, lambda p: p["idx"] == idx), F.lit(0))["val"], F.lit(0.0))
 
 
 def sparse_difference(a: Column, b: Column) -> Column:
