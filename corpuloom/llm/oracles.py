@@ -1,16 +1,83 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express.
 
+Not here: op5 (XXH64), op6 (tokenizer, linear program), op7 (tokenizer), op8 (keys are XXH64), op10
+(a trained model), pipeline; tests hold those against plain versions.
+"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+_VALUE = r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ASSIGN = rf"(?i)(password|passwd|secret|token|api_?key){_VALUE}"
+_USER = rf"(?i)(user_?name|user|login|account|client_id|access_key_id){_VALUE}"
+_ENDPOINT = r"""(?i)(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"''<>]+"""
 
 ORACLES: dict[str, str] = {}
 
+
+def _hits(family: int, pattern: str) -> str:
+    return f"""SELECT rid, {family} AS family, generate_subscripts(m, 1) AS i, unnest(m) AS x, unnest(g[1:len(m)]) AS gap
+FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}'))"""
+
+
+def _near(*ranks: int) -> str:
+    some = ", ".join(map(str, ranks))
+    return f"""EXISTS (SELECT 1 FROM r o WHERE o.rid = r.rid AND o.rank IN ({some}) AND ((o.s <= r.s AND r.s - o.e <= 200) OR (o.s >= r.s AND o.s - r.e <= 200)))"""
+
+
+ORACLES["op1_secret_scan"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+h AS ({_hits(0, _ASSIGN)} UNION ALL {_hits(1, 'AKIA[A-Z0-9]+')} UNION ALL {_hits(2, '[0-9a-f]{16,}')} UNION ALL {_hits(3, _USER)} UNION ALL {_hits(4, _ENDPOINT)}),
+p AS (SELECT rid, family, length(x) AS n, sum(length(gap) + length(x)) OVER (PARTITION BY rid, family ORDER BY i)::INT AS e,
+      CASE family WHEN 0 THEN length(regexp_extract(x, '{_ASSIGN}', 2)) WHEN 3 THEN length(regexp_extract(x, '{_USER}', 2)) ELSE length(x) END AS v FROM h),
+q AS (SELECT rid, e - n AS s, e, CASE WHEN family = 0 AND v >= 12 THEN 0 WHEN family = 0 AND v >= 6 THEN 3 WHEN family = 1 AND v >= 18 THEN 1 WHEN family = 1 AND v >= 8 THEN 4
+      WHEN family = 2 THEN 2 WHEN family = 3 AND v >= 3 THEN 5 WHEN family = 4 THEN 6 END AS rank FROM p),
+r AS (SELECT * FROM q WHERE rank IS NOT NULL),
+k AS (SELECT * FROM r WHERE CASE WHEN rank < 3 THEN true WHEN rank = 3 THEN {_near(1, 4, 5)} WHEN rank IN (4, 5) THEN {_near(0, 2, 3)} ELSE {_near(1, 4, 5)} AND {_near(0, 2, 3)} END),
+o AS (SELECT rid, rank, s, ['assign', 'access', 'hex', 'weak_assign', 'weak_access', 'user', 'endpoint'][rank + 1] || ':' || s || ':' || e AS w FROM k),
+a AS (SELECT rid, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank >= 3) AS n3,
+      string_agg(w, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(w, ',' ORDER BY s, rank) AS spans FROM o GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n3, 0) AS n_linked
+FROM d LEFT JOIN a USING (rid)
+"""
+
+ORACLES["op2_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+o AS (SELECT k, min(doc_id) AS owner FROM g GROUP BY k),
+m AS (SELECT doc_id, i FROM g JOIN o USING (k) WHERE owner < doc_id),
+c AS (SELECT w.doc_id, word, j, coalesce(max(m.i) OVER (PARTITION BY w.doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) >= j - 49, false) AS gone
+      FROM w LEFT JOIN m ON m.doc_id = w.doc_id AND m.i = w.j),
+s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""
+
 ORACLES["op3_exact_dedup"] = rf"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORMAL} AS t FROM documents)
-SELECT doc_id,
-       first_value(doc_id) OVER w AS keep_id,
-       count(*) OVER (PARTITION BY t) AS group_size,
-       row_number() OVER w = 1 AS kept,
-       sha256(t) AS text_sha256
-FROM d
-WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+ORACLES["op4_source_mix"] = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, sum(source_size) OVER ()::BIGINT * 1.5::DOUBLE AS goal FROM s),
+f AS (SELECT *, source_size * 2 / weight::DOUBLE AS full_level FROM w),
+l AS (SELECT *, (goal - coalesce(sum(source_size * 2) OVER r, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0))::DOUBLE AS level FROM f
+      WINDOW r AS (ORDER BY full_level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN first_level IS NULL OR first_level > full_level THEN (source_size * 2)::DOUBLE ELSE first_level * weight END AS target
+      FROM l CROSS JOIN (SELECT arg_min(level, full_level) AS first_level FROM l WHERE level <= full_level)),
+u AS (SELECT *, ('0x' || substr(md5('mix:' || CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
+      CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each FROM t),
+k AS (SELECT d.*, u.source_size, u.target, u.u, u.each, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS LAST) AS place FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, source_size, target, (floor(each * place + u) - floor(each * (place - 1) + u))::BIGINT * size AS taken,
+       (floor(each * place + u) - floor(each * (place - 1) + u))::BIGINT AS copies, source FROM k
+"""
+
+ORACLES["op9_embedding_dedup"] = """
+WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b
+                     ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
+c(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.v)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM embeddings JOIN c ON v = vec_id GROUP BY vec_id
 """

@@ -20,7 +20,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.dedup(spark, read_table(spark, sf_dir, "documents"))
+    return exact.dedup(spark, read_table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
