@@ -267,3 +267,72 @@ def cold_start_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty users of each stratum are reserved (sampling is the feature)."""
     per = P.posts(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", U.stratum(F.col("n"), 35, 45).alias("stratum"))
     return U.sampled(per, "stratum", 20, ["user_id"])
+
+
+# Candidates, splits, summaries
+
+
+@query(f"""WITH {P.FOLLOWS}, cand AS (SELECT DISTINCT src, dst FROM follows), k AS (SELECT src, dst FROM cand WHERE dst IN (SELECT c_custkey FROM customer)),
+f AS (SELECT src, dst, (EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = k.dst AND o.o_orderkey % 7 = k.src % 7))::INT AS rel FROM k)
+SELECT src AS user_id, dst AS item_id, rel FROM f WHERE src IN (SELECT src FROM f WHERE rel = 1)""")
+def ranking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Followed customers as candidates; those with an order of the follower's residue are relevant."""
+    from corpuloom.operators import selection as L
+
+    follows = P.follows(spark, sf_dir).select(F.col("src").alias("user_id"), F.col("dst").alias("item_id"))
+    items = P.users(spark, sf_dir).select(F.col("user_id").alias("item_id"))
+    orders = P.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id"), (F.col("o_orderkey") % 7).alias("r")).distinct()
+    relevant = follows.join(orders, "item_id").where(F.col("user_id") % 7 == F.col("r")).select("user_id", "item_id")
+    return L.ranking_candidates(follows, items, relevant).select("user_id", "item_id", "rel")
+
+
+@query(f"""WITH {P.POSTS}, r AS (SELECT *, order_id * 8 + line AS id FROM posts),
+o AS (SELECT *, row_number() OVER (PARTITION BY rating, seller_id ORDER BY {P.sql_hash('id')}, id) - 1 AS place, count(*) OVER (PARTITION BY rating, seller_id) AS n FROM r)
+SELECT rating, seller_id, CASE WHEN place < floor(n * 0.8) THEN 'TRAIN' ELSE 'TEST' END AS split, count(*) AS n FROM o GROUP BY 1, 2, 3""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """80 to 20 within each rating and seller."""
+    from corpuloom.operators import selection as L
+
+    rows = P.posts(spark, sf_dir).withColumn("id", F.col("order_id") * 8 + F.col("line"))
+    return L.stratified_split(rows, ["rating", "seller_id"], "id").groupBy("rating", "seller_id", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT l_partkey AS item_id, l_quantity::BIGINT % 3 AS topic, l_orderkey AS doc_id, l_linenumber AS stn, -l_extendedprice AS ll, l_quantity AS len FROM lineitem),
+r AS (SELECT *, ll / len AS score, row_number() OVER (PARTITION BY item_id, topic ORDER BY ll / len DESC, doc_id, stn) AS rank FROM s)
+SELECT item_id, topic, doc_id, stn, round(score, 6) AS score, rank FROM r WHERE rank <= 3""")
+def top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's ranking on order lines: three per item and topic by score per unit."""
+    from corpuloom.operators import selection as L
+
+    lines = P.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("item_id"), (F.col("l_quantity").cast("long") % 3).alias("topic"), F.col("l_orderkey").alias("doc_id"),
+        F.col("l_linenumber").alias("stn"), (-F.col("l_extendedprice")).alias("ll"), F.col("l_quantity").alias("len"),
+    )
+    return L.best_sentences(lines).select("item_id", "topic", "doc_id", "stn", r6("score", "score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {P.STATS}, sw AS (SELECT doc_id, 1 - count(*) FILTER ({P.legit('tok')}) / count(*)::DOUBLE AS proportion FROM norm GROUP BY doc_id)
+SELECT doc_id, any_value(len) AS len, count(*) AS n_terms, round(avg(tf), 6) AS mean_tf, round(any_value(proportion), 6) AS proportion, round(avg(ln((n + 1) / df::DOUBLE)), 6) AS avg_idf
+FROM st JOIN sw USING (doc_id) GROUP BY doc_id""")
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuloom.functions import text as X
+    from corpuloom.operators import selection as L
+    from corpuloom.operators import weighting as W
+
+    counts = P.counts(spark, sf_dir)
+    share = P.tokens(spark, sf_dir).select("doc_id", X.stopword_proportion(F.col("tokens"), P.STOPWORDS).alias("proportion"))
+    return L.document_features(counts, share, W.average_idf(counts)).select("doc_id", "len", "n_terms", r6("mean_tf", "mean_tf"), r6("proportion", "proportion"), r6("avg_idf", "avg_idf"))
+
+
+@query(f"""WITH {P.NORM}, seg AS (SELECT *, count(*) FILTER (tok = '') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stn FROM norm)
+SELECT doc_id, stn, count(DISTINCT tok) FILTER (tok IN ('the', 'of', 'and', 'tion')) AS n_keywords FROM seg WHERE tok <> '' GROUP BY doc_id, stn""")
+def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from corpuloom.operators import selection as L
+
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = P.tokens(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+    cut = placed.withColumn("stn", F.coalesce(F.count(F.when(F.col("term") == "", 1)).over(w), F.lit(0))).where(F.col("term") != "")
+    words = spark.sql("SELECT explode(array('the', 'of', 'and', 'tion')) AS term")
+    return L.keyword_counts(cut, words)
