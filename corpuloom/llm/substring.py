@@ -167,8 +167,11 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = 50, phrase: int
         .withColumn("doc", F.coalesce("doc_id", F.lit(LAST))),
         "signatures",
     )
-    classes = sig.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc").alias("rep"))
-    reps = sig.join(classes.withColumnRenamed("sha", "c_sha"), (F.col("sha") == F.col("c_sha")) & (F.col("doc") == F.col("rep")), "left_semi")
+    # Classes of two documents or more, written: most documents have none, and a hot class can be split in the joins.
+    classes = sig.where(F.col("n_words") >= window).groupBy(F.col("sha").alias("c_sha")).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.table(classes.where("n > 1").drop("n"), "classes")
+    classed = sig.join(classes, F.col("sha") == F.col("c_sha"), "left")
+    reps = classed.where(F.col("rep").isNull() | (F.col("doc") == F.col("rep")))
     each = reps.select("doc", F.explode("anchors").alias("anchor")).distinct()
     common = each.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("anchor")
     holders = each.join(common, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("recurring"))
@@ -193,10 +196,7 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = 50, phrase: int
         "cut",
     )
     cut = cut.dropDuplicates(["doc", "sha"]).select(F.col("doc").alias("c_doc"), F.col("sha").alias("cut_sha"), "cut", "kept_sha", "kept_text")
-    joined = (
-        sig.join(classes.withColumnRenamed("sha", "c_sha"), F.col("sha") == F.col("c_sha"), "left")
-        .join(cut, (F.col("doc") == F.col("c_doc")) & (F.col("sha") == F.col("cut_sha")), "left")
-    )
+    joined = classed.join(cut, (F.col("doc") == F.col("c_doc")) & (F.col("sha") == F.col("cut_sha")), "left")
     copy = F.col("doc") > F.col("rep")  # all of its windows start in the class's least document
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     columns = [
