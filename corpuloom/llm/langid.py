@@ -4,7 +4,7 @@ A text's words give their character 2- to 4-grams, word edges included, hashed t
 embeddings of all of them are averaged and a linear softmax scores the languages. Embeddings and
 weights are trained by stochastic gradient descent in numpy, on at most ``most_rows`` labelled
 rows chosen by a hash (an equal quota for each language); a fifth of them sets the temperature of
-the softmax and the score below which a text is rejected. For prediction embeddings times weights
+the softmax, and the score and the share of known subwords below which a text is rejected. For prediction embeddings times weights
 make one table of bucket scores, so each whole text costs one gather.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected. If no
@@ -28,7 +28,7 @@ from corpuloom.llm import kernels as K
 from corpuloom.llm.common import own
 from corpuloom.session import ship
 
-BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
+BUCKETS, DIM, GRAMS = 1 << 18, 16, (2, 3, 4)
 UNKNOWN = "und"
 _BLOCK = 1 << 18
 _letters: list[np.ndarray] = []
@@ -76,20 +76,29 @@ def buckets(text: str):
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # BUCKETS x languages: embeddings times weights
+    table: np.ndarray  # BUCKETS x (languages + 1): embeddings times weights, and whether training saw the bucket
     bias: np.ndarray
     temperature: float
-    least: float
+    least: float  # score
+    least_seen: float  # share of subwords that training saw
 
-    def probabilities(self, text: str) -> np.ndarray | None:
-        total, n = np.zeros(len(self.langs)), 0
+    def probabilities(self, text: str) -> tuple[np.ndarray, float] | None:
+        """Of each language, and the share of the text's subwords that training saw."""
+        total, n = np.zeros(len(self.langs) + 1), 0
         for ids in buckets(text):
             n += len(ids)
             if len(ids) > BUCKETS:
                 total += np.bincount(ids, minlength=BUCKETS) @ self.table
             else:
                 total += self.table[ids].sum(0, dtype=np.float64)
-        return softmax((total / n + self.bias) / self.temperature) if n else None
+        return (softmax((total[:-1] / n + self.bias) / self.temperature), total[-1] / n) if n else None
+
+    def score(self, p: np.ndarray, seen: float) -> float:
+        """The best probability, less where too few subwords are known to trust it."""
+        return float(p.max() * (min(1.0, seen / self.least_seen) if self.least_seen > 0 else 1.0))
+
+    def rejects(self, p: np.ndarray, seen: float) -> bool:
+        return bool(p.max() < self.least or seen < self.least_seen)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -123,7 +132,10 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12,
             b -= 0.1 * eta * g
             E[ids] -= (eta * DIM) * f[:, None] * back[None, :]
             steps += 1
-    table = E @ W
+    seen = np.zeros(BUCKETS, bool)  # other buckets hold nothing but their random start
+    for ids, _, _ in used:
+        seen[ids] = True
+    table = np.where(seen[:, None], E @ W, 0)
     logits = np.array([(c / c.sum()) @ table[i] + b for i, c, _ in held])
     truth = np.array([place[lang] for _, _, lang in held])
 
@@ -135,9 +147,13 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12,
     temperature = min(grid, key=lambda t: -np.log(scores(t)[np.arange(len(truth)), truth] + 1e-12).sum())
     p = scores(temperature)
     right = p.max(1)[p.argmax(1) == truth]
-    # Reject below the score that all but a share ``reject`` of the right answers reach, and never above 1/2.
-    least = min(0.5, float(np.quantile(right, reject))) if len(right) else 0.0
-    return Model(langs, table.astype(np.float32), b, temperature, least * 0.999)
+    # Reject what lies below what all but a share ``reject`` of the calibrating texts reach, with a margin: a score
+    # hardly better than chance, or less than half their share of known subwords. So a clean text in two languages
+    # or of a few words stays, and one in another script goes.
+    share = np.array([(c * seen[i]).sum() / c.sum() for i, c, _ in held])
+    least = min(1.25 / len(langs), float(np.quantile(right, reject))) if len(right) else 0.0
+    table = np.hstack([table, seen[:, None]]).astype(np.float32)
+    return Model(langs, table, b, temperature, least, 0.5 * float(np.quantile(share, reject)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -151,12 +167,12 @@ def _featured(batches):
             found = list(buckets(raw.decode()))
             if found:
                 ids, counts = np.unique(np.concatenate(found), return_counts=True)
-                for column, value in zip(rows, (lang, ids, counts)):
+                for column, value in zip(rows, (lang, ids.astype("<i4").tobytes(), counts.astype("<i4").tobytes())):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.int64()))], ["lang", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["lang", "ids", "counts"])
 
 
-def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 1600, most_langs: int = 400) -> Model | None:
+def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 2400, most_langs: int = 400) -> Model | None:
     """Learn from labelled rows outside the held-out fold: at most most_rows of them (the documented bound)."""
     ship(spark)
     usable = own(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
@@ -170,25 +186,22 @@ def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 1600, most_langs:
     # chances leave a margin over the quota; the limit then makes the bound exact
     chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, quota / n))) for x, n in sorted(sizes.items())])
     drawn = usable.withColumn("_u", u).where(F.col("_u") < chance).withColumn("_order", F.xxhash64("doc_id", F.lit("order"))).orderBy("_order", "doc_id", "lang", F.xxhash64("text")).limit(most_rows)
-    rows = drawn.select("lang", "text").mapInArrow(_featured, "lang string, ids array<long>, counts array<long>").collect()
-    rows.sort(key=lambda r: (hash_of(r["ids"], r["counts"]), r["lang"]))
-    return train([(np.array(r["ids"]), np.array(r["counts"]), r["lang"]) for r in rows])
-
-
-def hash_of(ids: list[int], counts: list[int]) -> int:
-    h = K.grams(K.mix(np.array(ids, np.uint64) * K.U64(31) + np.array(counts, np.uint64)), len(ids))
-    return int(h[0])
+    rows = drawn.select("lang", "text").mapInArrow(_featured, "lang string, ids binary, counts binary").collect()  # at most most_rows, packed
+    rows.sort(key=lambda r: (r["ids"], r["counts"], r["lang"]))  # whatever order tasks came in
+    order = np.random.default_rng(11).permutation(len(rows)).tolist()
+    unpack = lambda b: np.frombuffer(b, "<i4").astype(np.int64)
+    return train([(unpack(rows[i]["ids"]), unpack(rows[i]["counts"]), rows[i]["lang"]) for i in order])
 
 
 def _predicted(batches, model):
     m: Model | None = model.value
     for batch in K.bounded(batches):
-        langs, scores = [], []
+        langs, scores, rejected = [], [], []
         for raw in K.texts(batch.column("text")):
-            p = m.probabilities(raw.decode()) if m is not None and raw else None
-            langs.append(UNKNOWN if p is None else m.langs[int(p.argmax())])
-            scores.append(0.0 if p is None else float(p.max()))
-        rejected = [lang == UNKNOWN or s < m.least for lang, s in zip(langs, scores)]
+            found = m.probabilities(raw.decode()) if m is not None and raw else None
+            langs.append(UNKNOWN if found is None else m.langs[int(found[0].argmax())])
+            scores.append(0.0 if found is None else m.score(*found))
+            rejected.append(found is None or m.rejects(*found))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
             [*batch.schema.names, "_lang_pred", "_score", "_rejected"],

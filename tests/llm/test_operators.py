@@ -278,6 +278,15 @@ def test_op9_recall():
         assert set(a[0]) == set(np.argsort(-every)[: vectors.EXPECT])
 
 
+def test_op10_rejects(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(spark, docs)
+    odd = spark.createDataFrame([(1, "привет мир как дела сегодня"), (2, "今日は良い天気です"), (3, "12 %% 34")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.predict(spark, odd, model).collect()}
+    assert all(got[i]["rejected"] for i in (1, 2, 3)) and got[3]["lang_pred"] == "und" and got[1]["score"] < 0.5
+    assert langid.predict(spark, docs, model).where("rejected").count() == 0
+
+
 def test_op10_language(spark, docs):
     got = langid.predict(spark, docs).collect()
     rows = docs.select("doc_id", "text", "lang").collect()
