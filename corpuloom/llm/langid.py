@@ -30,6 +30,7 @@ from corpuloom.session import ship
 
 BUCKETS, DIM, GRAMS = 1 << 18, 16, (2, 3, 4)
 UNKNOWN = "und"
+LEAST_CALIBRATING = 100
 _BLOCK = 1 << 18
 _letters: list[np.ndarray] = []
 
@@ -151,9 +152,11 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12,
     # hardly better than chance, or less than half their share of known subwords. So a clean text in two languages
     # or of a few words stays, and one in another script goes.
     share = np.array([(c * seen[i]).sum() / c.sum() for i, c, _ in held])
-    least = min(1.25 / len(langs), float(np.quantile(right, reject))) if len(right) else 0.0
+    # Too few texts calibrate nothing: then only texts without a letter are rejected.
+    calibrated = len(held) >= LEAST_CALIBRATING and len(right) > 0
+    least = min(1.25 / len(langs), float(np.quantile(right, reject))) if calibrated else 0.0
     table = np.hstack([table, seen[:, None]]).astype(np.float32)
-    return Model(langs, table, b, temperature, least, 0.5 * float(np.quantile(share, reject)))
+    return Model(langs, table, b, temperature, least, 0.5 * float(np.quantile(share, reject)) if calibrated else 0.0)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -278,8 +278,8 @@ def test_op9_recall():
         assert set(a[0]) == set(np.argsort(-every)[: vectors.EXPECT])
 
 
-def test_op10_rejects(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+def test_op10_rejects(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(spark, docs)
     odd = spark.createDataFrame([(1, "привет мир как дела сегодня"), (2, "今日は良い天気です"), (3, "12 %% 34")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in langid.predict(spark, odd, model).collect()}
