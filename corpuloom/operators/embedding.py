@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpuloom.functions.special import logsumexp
 from corpuloom.operators.ranking import global_rank
-from corpuloom.operators.topics import MOST_CELLS
+from corpuloom.operators.topics import MOST_CELLS, summed_arrays
 from corpuloom.session import Scratch, ship
 
 
@@ -472,9 +472,8 @@ def _m_step(state: State, out: DataFrame, tau: float, xi: float, rho: float, n_d
     log_beta = state.log_beta
     if "beta" in p.flags:
         stats = np.full(log_beta.shape, p.beta - 1)
-        cells = out.where(F.col("doc_id").isNull()).select(F.col("u").alias("k"), F.posexplode("mu").alias("w", "x")).groupBy("k", "w").agg(F.sum("x").alias("x"))
-        for row in cells.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("w", "x")))["x"].alias("x")).collect():  # topics * vocabulary cells
-            stats[row["k"]] += row["x"]
+        for k, x in summed_arrays(out.where(F.col("doc_id").isNull()), "u", "mu", stats.size).items():
+            stats[k] += x
         log_beta = np.log(stats / stats.sum(1)[:, None])
     p = replace(p, **new)
     return replace(state, params=p, log_beta=log_beta), p

@@ -224,18 +224,42 @@ def fit(
     return model, state.select("doc_id", F.transform("state", lambda x: x / total).alias("theta"))
 
 
+def _added(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = np.asarray(v.values, float)
+            sums[k] = sums[k] + x if k in sums else x.copy()
+    if sums:
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sums.values())]).astype(np.int32), np.concatenate(list(sums.values())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), lists], names)
+
+
+def summed_arrays(rows: DataFrame, key: str, value: str, cells: int) -> dict[int, np.ndarray]:
+    """Per key the sum of its arrays, of ``cells`` numbers over all keys.
+
+    Each partition of an E-step gives one array per key. They are dealt over a few tasks, added there,
+    and only those tasks' sums come to the driver: a few times the model's size, however many partitions
+    there were.
+    """
+    fan = max(1, min(16, MOST_CELLS // 4 // max(cells, 1)))
+    salted = rows.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v"), (F.spark_partition_id() % fan).alias("s"))
+    parts = salted.repartition(fan, "k", "s").select("k", "v").mapInArrow(partial(_added, names=["k", "v"]), "k long, v array<double>")
+    out: dict[int, np.ndarray] = {}
+    for batch in parts.toArrow().to_batches():
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = np.asarray(v.values, float)
+            out[k] = out[k] + x if k in out else x.copy()
+    return out
+
+
 def _collect_topics(out: DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over partitions: topics * vocabulary cells, the size that may be broadcast."""
-    cells = out.where(F.col("doc_id").isNull()).select("topic", "ll", F.posexplode("state").alias("w", "x"))
-    sums = cells.groupBy("topic", "w").agg(F.sum("x").alias("x"))
-    packed = sums.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("w", "x")))["x"].alias("x"))
-    stats = np.zeros(shape)
-    for row in packed.collect():
-        stats[row["topic"]] = row["x"]
-    elog = np.zeros(shape[0])
-    for row in out.where(F.col("doc_id").isNull()).groupBy("topic").agg(F.sum("ll").alias("e")).collect():
-        elog[row["topic"]] = row["e"]
-    return stats, elog
+    """Sums over partitions: statistics, and the rows' ll column as one more number per topic."""
+    rows = out.where(F.col("doc_id").isNull()).select("topic", F.concat("state", F.array("ll")).alias("x"))
+    stats = np.zeros((shape[0], shape[1] + 1))
+    for k, x in summed_arrays(rows, "topic", "x", stats.size).items():
+        stats[k] = x
+    return stats[:, :-1], stats[:, -1]
 
 
 def _inferred(batches, kind: str, shared, rounds: int, seed: int):
