@@ -99,14 +99,19 @@ class Batch:
         return np.stack([np.bincount(self.doc, column, self.n) for column in x.T], 1) if x.ndim > 1 else np.bincount(self.doc, x, self.n)
 
 
-def _ascend_rows(f, x: np.ndarray, p: Params) -> np.ndarray:
-    """As _ascend, for many rows at once: f(rows' x, which rows) gives values and gradients; rows stop one by one."""
+def _ascend_rows(f, x: np.ndarray, p: Params, length: np.ndarray) -> np.ndarray:
+    """As _ascend, for many rows at once: f(rows' x, which rows) gives values and gradients; rows stop one by one.
+
+    The curvature grows with a document's length; beyond 1 / step words the step falls with it, else
+    long documents would overshoot for ever.
+    """
     x = x.copy()
+    step = (p.step / np.maximum(1.0, p.step * length))[:, None]
     live, last, square = np.arange(len(x)), np.ones(len(x)), np.full_like(x, 1e-8)
     for _ in range(p.ascent_rounds):
         value, g = f(x[live], live)
         square[live] += g * g
-        x[live] += p.step / np.sqrt(square[live]) * g if p.adagrad else p.step * g
+        x[live] += step[live] / np.sqrt(square[live]) * g if p.adagrad else step[live] * g
         stay = np.abs((last[live] - value) / last[live]) > p.ascent_tolerance
         last[live] = value
         live = live[stay]
@@ -127,7 +132,7 @@ def ascend_mu(mu, sigma, log_zeta, stat, length, prior, p: Params) -> np.ndarray
         value = (-0.5 * p.tau * x * x + p.tau * x * prior[at] + x * stat[at] - moment).sum(1)
         return value, -p.tau * x + p.tau * prior[at] + stat[at] - moment
 
-    return _ascend_rows(f, mu, p)
+    return _ascend_rows(f, mu, p, length)
 
 
 def ascend_root(mu, root, log_zeta, length, p: Params) -> np.ndarray:
@@ -135,7 +140,7 @@ def ascend_root(mu, root, log_zeta, length, p: Params) -> np.ndarray:
         moment = length[at, None] * np.exp(mu[at] + 0.5 * s * s - log_zeta[at, None])
         return (-0.5 * p.tau * s * s - moment + 0.5 * np.log(s * s)).sum(1), -p.tau * s - s * moment + 1 / s
 
-    return _ascend_rows(f, root, p)
+    return _ascend_rows(f, root, p, length)
 
 
 def doc_bounds(mu, sigma, log_zeta, phi, batch: Batch, log_beta, prior, second, p: Params) -> np.ndarray:

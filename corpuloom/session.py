@@ -93,3 +93,16 @@ class Scratch:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """A small input dealt over all cores: a file of one row group would be read, and then worked on, by one task.
+
+    Inputs above ``most`` bytes by the optimizer's estimate have tasks enough and are left alone, so what this
+    shuffles is bounded.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df

@@ -305,6 +305,13 @@ def test_embedding_document_sweep():
     assert (longer[3] >= got[3] - 1e-9).all()  # the bound rises
 
 
+def test_embedding_long_documents():
+    state, rng = toy_state(), np.random.default_rng(5)
+    batch = embedding.Batch(np.arange(5), np.full(5, 6000.0), np.array([0, 5]))
+    got = embedding.infer_docs(batch, rng.random((1, 2)), 1 + rng.random((1, 2)), rng.random((1, 2)), np.eye(2)[None], state, 40)
+    assert all(np.isfinite(x).all() for x in got) and np.abs(got[0]).max() < 50
+
+
 def test_embedding_pairs_and_users():
     rng = np.random.default_rng(6)
     p = embedding.Params(topics=2, dim=2, rho=0.4)
