@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuloom.operators import corpus as C
-from corpuloom.session import read_table, spread
+from corpuloom.session import Scratch, read_table, spread
 
 #: A short stop list for the registered queries; operators take any.
 STOPWORDS = ("the", "and", "of", "to", "in", "is")
@@ -26,7 +26,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
-    return C.term_counts(tokens(spark, sf_dir), n, STOPWORDS)
+    """Written once: the queries below use them several times, and tokenizing is most of their work."""
+    return Scratch(spark, "counts").table(C.term_counts(tokens(spark, sf_dir), n, STOPWORDS), "counts")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
