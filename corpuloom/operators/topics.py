@@ -220,6 +220,8 @@ def fit(
         shared.unpersist()
         if len(model.history) > 1 and abs((model.history[-1] - model.history[-2]) / model.history[-2]) < tolerance:
             break
+    # Without the topics' rows: an expression over the documents' short arrays must not meet arrays of the vocabulary's size.
+    state = scratch.table(state.select("doc_id", "state"), "theta")
     total = F.aggregate("state", F.lit(0.0), lambda s, x: s + x)
     return model, state.select("doc_id", F.transform("state", lambda x: x / total).alias("theta"))
 
