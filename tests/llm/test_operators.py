@@ -278,6 +278,33 @@ def test_op9_recall():
         assert set(a[0]) == set(np.argsort(-every)[: vectors.EXPECT])
 
 
+def uneven(which: str, n: int, rng):
+    """Pairs at a cosine of 0.955: three dimensions of 64 in use, or falling variance."""
+    x = rng.standard_normal((n, 64))
+    x *= np.arange(1, 65) ** -1.5 if which == "decaying" else rng.random((n, 64)).argsort(1) < 3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((n, 64)) / 8
+    y -= (y * x).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    return x, 0.955 * x + np.sqrt(1 - 0.955**2) * y
+
+
+@pytest.mark.parametrize("which", ["sparse", "decaying"])
+def test_op9_uneven_vectors(spark, which):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate(uneven(which, 150, np.random.default_rng(3))))]
+    got = vectors.near_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert counted(got) == counted(R.vectors(rows))
+
+
+@pytest.mark.parametrize("which", ["sparse", "decaying"])
+@pytest.mark.parametrize("codes", [16, 64, 160])
+def test_op9_uneven_recall(which, codes):
+    x, y = uneven(which, 1500, np.random.default_rng(4))
+    a, b = vectors.filters(x, codes, vectors.EXPECT), vectors.filters(y, codes, vectors.EXPECT)
+    assert (np.diff(a) > 0).all()
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.998
+
+
 def test_op10_rejects(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(spark, docs)
