@@ -3,8 +3,9 @@
 A text's words give their character 2- to 4-grams, word edges included, hashed to buckets. The
 embeddings of all of them are averaged and a linear softmax scores the languages. Embeddings and
 weights are trained by stochastic gradient descent in numpy, on at most ``most_rows`` labelled
-rows chosen by a hash (an equal quota for each language); a fifth of them sets the temperature of
-the softmax, and the score and the share of known subwords below which a text is rejected. For prediction embeddings times weights
+rows chosen by a hash (equal quotas for the languages; what rare ones leave goes to the others).
+Cross-validation over all of them sets the temperature of the softmax, and the score and the share of
+known subwords below which a text is rejected. For prediction embeddings times weights
 make one table of bucket scores, so each whole text costs one gather.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected. If no
@@ -30,7 +31,9 @@ from corpuloom.session import ship
 
 BUCKETS, DIM, GRAMS = 1 << 18, 16, (2, 3, 4)
 UNKNOWN = "und"
-LEAST_CALIBRATING = 100
+FOLDS = 5
+#: Unknown subwords that any text may have: a short one has few in all.
+SPARE = 3
 _BLOCK = 1 << 18
 _letters: list[np.ndarray] = []
 
@@ -92,7 +95,7 @@ class Model:
                 total += np.bincount(ids, minlength=BUCKETS) @ self.table
             else:
                 total += self.table[ids].sum(0, dtype=np.float64)
-        return (softmax((total[:-1] / n + self.bias) / self.temperature), total[-1] / n) if n else None
+        return (softmax((total[:-1] / n + self.bias) / self.temperature), known(total[-1], n)) if n else None
 
     def score(self, p: np.ndarray, seen: float) -> float:
         """The best probability, less where too few subwords are known to trust it."""
@@ -102,31 +105,29 @@ class Model:
         return bool(p.max() < self.least or seen < self.least_seen)
 
 
+def known(n: float, total: float) -> float:
+    """Share of known subwords, of which SPARE may be unknown."""
+    return min(1.0, (n + min(n, SPARE)) / total)
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
     return e / e.sum()
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12, rate: float = 2.0, seed: int = 5, reject: float = 0.001) -> Model | None:
-    """examples: buckets, their counts and the language. A fifth calibrates, the rest is learned."""
-    langs = sorted({e[2] for e in examples})
-    if not langs:
-        return None
-    place = {x: i for i, x in enumerate(langs)}
+def descend(examples: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the buckets for each language, the languages' offsets, and which buckets were seen."""
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
-    W, b = np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    held = [e for i, e in enumerate(examples) if i % 5 == 4] or examples
-    used = [e for i, e in enumerate(examples) if i % 5 != 4] or examples
-    W += rng.normal(0, 0.1, W.shape)
-    steps, total = 0, epochs * len(used)
+    W, b = rng.normal(0, 0.1, (DIM, n_langs)), np.zeros(n_langs)
+    steps, total = 0, epochs * len(examples)
     for _ in range(epochs):
-        for i in rng.permutation(len(used)).tolist():
-            ids, counts, lang = used[i]
+        for i in rng.permutation(len(examples)).tolist():
+            ids, counts, lang = examples[i]
             f = counts / counts.sum()
             x = f @ E[ids]
             g = softmax(x @ W + b)
-            g[place[lang]] -= 1
+            g[lang] -= 1
             eta = rate * (1 - steps / total)
             back = W @ g
             W -= eta * np.outer(x, g)
@@ -134,29 +135,44 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12,
             E[ids] -= (eta * DIM) * f[:, None] * back[None, :]
             steps += 1
     seen = np.zeros(BUCKETS, bool)  # other buckets hold nothing but their random start
-    for ids, _, _ in used:
+    for ids, _, _ in examples:
         seen[ids] = True
-    table = np.where(seen[:, None], E @ W, 0)
-    logits = np.array([(c / c.sum()) @ table[i] + b for i, c, _ in held])
-    truth = np.array([place[lang] for _, _, lang in held])
+    return np.where(seen[:, None], E @ W, 0), b, seen
+
+
+def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12, rate: float = 2.0, seed: int = 5, reject: float = 0.001) -> Model | None:
+    """examples: buckets, their counts and the language. All are learned; each calibrates by the model of the other folds."""
+    langs = sorted({e[2] for e in examples})
+    if not langs:
+        return None
+    place = {x: i for i, x in enumerate(langs)}
+    rows = [(i, c, place[lang]) for i, c, lang in examples]
+    n, folds = len(rows), min(FOLDS, len(rows))
+    logits, share, truth = np.zeros((n, len(langs))), np.zeros(n), np.array([r[2] for r in rows])
+    for k in range(folds if n > 1 else 0):
+        table, b, seen = descend([r for j, r in enumerate(rows) if j % folds != k], len(langs), epochs, rate, seed)
+        for j in range(k, n, folds):
+            ids, c, _ = rows[j]
+            logits[j] = (c / c.sum()) @ table[ids] + b
+            share[j] = known(c[seen[ids]].sum(), c.sum())
 
     def scores(t: float) -> np.ndarray:
         e = np.exp((logits - logits.max(1)[:, None]) / t)
         return e / e.sum(1)[:, None]
 
     grid = [2 ** (k / 4) for k in range(-12, 17)]
-    temperature = min(grid, key=lambda t: -np.log(scores(t)[np.arange(len(truth)), truth] + 1e-12).sum())
+    temperature = min(grid, key=lambda t: -np.log(scores(t)[np.arange(n), truth] + 1e-12).sum())
     p = scores(temperature)
     right = p.max(1)[p.argmax(1) == truth]
     # Reject what lies below what all but a share ``reject`` of the calibrating texts reach, with a margin: a score
     # hardly better than chance, or less than half their share of known subwords. So a clean text in two languages
-    # or of a few words stays, and one in another script goes.
-    share = np.array([(c * seen[i]).sum() / c.sum() for i, c, _ in held])
-    # Too few texts calibrate nothing: then only texts without a letter are rejected.
-    calibrated = len(held) >= LEAST_CALIBRATING and len(right) > 0
-    least = min(1.25 / len(langs), float(np.quantile(right, reject))) if calibrated else 0.0
-    table = np.hstack([table, seen[:, None]]).astype(np.float32)
-    return Model(langs, table, b, temperature, least, 0.5 * float(np.quantile(share, reject)) if calibrated else 0.0)
+    # or of a few words stays, and one in another script goes. Fewer texts widen the margin, by a power and as if two
+    # more texts knew half of their subwords.
+    wide = 1 + 10 / np.sqrt(n)
+    least = min(1.25 / len(langs), float(np.quantile(right, reject)) ** wide) if len(right) else 0.0
+    least_seen = 0.5 * ((n * float(np.quantile(share, reject)) + 1) / (n + 2)) ** wide
+    table, b, seen = descend(rows, len(langs), epochs, rate, seed)
+    return Model(langs, np.hstack([table, seen[:, None]]).astype(np.float32), b, temperature, least, least_seen)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -175,6 +191,15 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["lang", "ids", "counts"])
 
 
+def quotas(sizes: dict[str, int], most_rows: int) -> dict[str, int]:
+    """Rows to draw of each language: equal shares, refilled with what smaller languages leave."""
+    out, left = {}, most_rows
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(sizes) - i)))
+        left -= out[lang]
+    return out
+
+
 def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 2400, most_langs: int = 400) -> Model | None:
     """Learn from labelled rows outside the held-out fold: at most most_rows of them (the documented bound)."""
     ship(spark)
@@ -184,10 +209,10 @@ def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 2400, most_langs:
         raise ValueError(f"more than {most_langs} languages")
     if not sizes:
         return None
-    quota = max(1, most_rows // len(sizes))
+    quota = quotas(sizes, most_rows)
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # chances leave a margin over the quota; the limit then makes the bound exact
-    chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, quota / n))) for x, n in sorted(sizes.items())])
+    chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, quota[x] / n))) for x, n in sorted(sizes.items())])
     drawn = usable.withColumn("_u", u).where(F.col("_u") < chance).withColumn("_order", F.xxhash64("doc_id", F.lit("order"))).orderBy("_order", "doc_id", "lang", F.xxhash64("text")).limit(most_rows)
     rows = drawn.select("lang", "text").mapInArrow(_featured, "lang string, ids binary, counts binary").collect()  # at most most_rows, packed
     rows.sort(key=lambda r: (r["ids"], r["counts"], r["lang"]))  # whatever order tasks came in

@@ -314,6 +314,18 @@ def test_op10_rejects(spark):
     assert langid.predict(spark, docs, model).where("rejected").count() == 0
 
 
+def test_op10_few_rows_calibrate(spark):
+    """Rejection works with a few labelled rows too, and rare languages leave their quota to the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(60)
+    model = langid.fit(spark, docs)
+    odd = spark.createDataFrame([(1, "привет мир как дела сегодня, сегодня хорошая погода"), (2, "今日は良い天気です。明日も晴れるでしょう")], "doc_id long, text string")
+    assert model.least > 0 and model.least_seen > 0
+    assert langid.predict(spark, odd, model).where("rejected").count() == 2
+    assert langid.predict(spark, docs.where("text rlike '[a-z]'"), model).where("rejected").count() == 0
+    got = langid.quotas({f"large{i}": 100_000 for i in range(4)} | {f"rare{i}": 3 for i in range(20)}, 2400)
+    assert sum(got.values()) == 2400 and got["rare0"] == 3 and got["large0"] == 585
+
+
 def test_op10_language(spark, docs):
     got = langid.predict(spark, docs).collect()
     rows = docs.select("doc_id", "text", "lang").collect()
