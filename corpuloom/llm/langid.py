@@ -31,7 +31,7 @@ from corpuloom.session import ship
 
 BUCKETS, DIM, GRAMS = 1 << 18, 16, (2, 3, 4)
 UNKNOWN = "und"
-FOLDS = 5
+FOLDS, MIXED = 3, 8
 #: Unknown subwords that any text may have: a short one has few in all.
 SPARE = 3
 _BLOCK = 1 << 18
@@ -156,21 +156,26 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12,
             logits[j] = (c / c.sum()) @ table[ids] + b
             share[j] = known(c[seen[ids]].sum(), c.sum())
 
-    def scores(t: float) -> np.ndarray:
-        e = np.exp((logits - logits.max(1)[:, None]) / t)
+    def scores(t: float, z: np.ndarray = logits) -> np.ndarray:
+        e = np.exp((z - z.max(1, keepdims=True)) / t)
         return e / e.sum(1)[:, None]
 
     grid = [2 ** (k / 4) for k in range(-12, 17)]
     temperature = min(grid, key=lambda t: -np.log(scores(t)[np.arange(n), truth] + 1e-12).sum())
     p = scores(temperature)
     right = p.max(1)[p.argmax(1) == truth]
-    # Reject what lies below what all but a share ``reject`` of the calibrating texts reach, with a margin: a score
-    # hardly better than chance, or less than half their share of known subwords. So a clean text in two languages
-    # or of a few words stays, and one in another script goes. Fewer texts widen the margin, by a power and as if two
-    # more texts knew half of their subwords.
+    # Reject what lies below what all but a share ``reject`` of the calibrating texts reach, with a margin. Even mixtures
+    # of two languages calibrate the score too, so that a clean text in two languages stays. Fewer texts widen the
+    # margins, by a power and as if two more texts knew half of their subwords.
     wide = 1 + 10 / np.sqrt(n)
-    least = min(1.25 / len(langs), float(np.quantile(right, reject)) ** wide) if len(right) else 0.0
-    least_seen = 0.5 * ((n * float(np.quantile(share, reject)) + 1) / (n + 2)) ** wide
+    for k in range(folds):
+        at = np.arange(k, n, folds)
+        for by in range(1, min(MIXED + 1, len(at))):
+            other = np.roll(at, by)
+            differ = truth[at] != truth[other]
+            right = np.append(right, scores(temperature, (logits[at] + logits[other])[differ] / 2).max(1))
+    least = float(np.quantile(right, reject)) ** wide if len(right) else 0.0
+    least_seen = ((n * float(np.quantile(share, reject)) + 1) / (n + 2)) ** (2 + wide)
     table, b, seen = descend(rows, len(langs), epochs, rate, seed)
     return Model(langs, np.hstack([table, seen[:, None]]).astype(np.float32), b, temperature, least, least_seen)
 

@@ -314,6 +314,22 @@ def test_op10_rejects(spark):
     assert langid.predict(spark, docs, model).where("rejected").count() == 0
 
 
+def test_op10_rejects_unlearned_latin(spark):
+    """Texts of unlearned languages in the same script go, clean ones in two learned languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(spark, docs)
+    odd = [
+        "la casa del mio amico si trova vicino alla stazione e ogni mattina prendiamo insieme il treno per andare al lavoro",
+        "het huis van mijn vriend staat dicht bij het station en elke ochtend nemen wij samen de trein naar het werk",
+        "ystäväni talo sijaitsee lähellä asemaa ja joka aamu menemme yhdessä junalla töihin kaupungin keskustaan",
+        "aaaa " * 30,
+    ]
+    assert all(model.rejects(*model.probabilities(t)) for t in odd)
+    some = {x: [r["text"] for r in docs.where((F.col("lang") == x) & (F.length("text") > 300)).orderBy("doc_id").limit(20).collect()] for x in ("en", "fr", "de", "es")}
+    mixed = [a[:300] + "\n" + b[:300] for x in some for y in some if x < y for a, b in zip(some[x], some[y])]
+    assert len(mixed) > 50 and sum(model.rejects(*model.probabilities(t)) for t in mixed) == 0
+
+
 def test_op10_few_rows_calibrate(spark):
     """Rejection works with a few labelled rows too, and rare languages leave their quota to the others."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(60)
