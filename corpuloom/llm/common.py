@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuloom.session import Scratch
+
 #: Words and white space of the contracts, as Java and RE2 regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
 def own(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns: extra ones, whatever their names, can't clash with ours."""
-    return df.select(*[df[n] for n in names])
+    """Only the named columns, taken by place: extra ones can't clash with ours, not even by a name that differs in case only."""
+    at = [df.columns.index(n) for n in names]
+    placed = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return placed.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
 
 
 def row_digest(*names: str) -> Column:
@@ -30,11 +34,13 @@ def keep_rows(docs: DataFrame, decided: DataFrame, key: str, copies: str) -> Dat
 
     ``decided`` has doc_id, ``key`` (a digest column that ``docs`` has too) and ``copies`` for
     each row of ``docs``. Rows that repeat each other are counted, not told apart: they go
-    through as one row that is emitted as often as all of them together.
+    through as one row that is emitted as often as all of them together. The counts are written,
+    so ``decided`` runs once.
     """
-    want = (
+    want = Scratch(docs.sparkSession, "kept").table(
         decided.groupBy(F.col("doc_id").alias("_want_id"), F.col(key).alias("_want_key"))
-        .agg(F.sum(copies).cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+        .agg(F.sum(copies).cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")),
+        "want",
     )
     repeated = want.agg(F.max("_rows")).first()[0] or 0
     columns = [c for c in docs.columns if c != key]

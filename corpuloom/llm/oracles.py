@@ -11,6 +11,8 @@ _ASSIGN = rf"(?i)(password|passwd|secret|token|api_?key){_VALUE}"
 _USER = rf"(?i)(user_?name|user|login|account|client_id|access_key_id){_VALUE}"
 _ENDPOINT = r"""(?i)(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"''<>]+"""
 
+_KINDS = "['assign', 'access', 'hex', 'weak_assign', 'weak_access', 'user', 'endpoint']"
+
 ORACLES: dict[str, str] = {}
 
 
@@ -19,11 +21,6 @@ def _hits(family: int, pattern: str) -> str:
 FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}'))"""
 
 
-def _near(*ranks: int) -> str:
-    some = ", ".join(map(str, ranks))
-    return f"""EXISTS (SELECT 1 FROM r o WHERE o.rid = r.rid AND o.rank IN ({some}) AND ((o.s <= r.s AND r.s - o.e <= 200) OR (o.s >= r.s AND o.s - r.e <= 200)))"""
-
-
 ORACLES["op1_secret_scan"] = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 h AS ({_hits(0, _ASSIGN)} UNION ALL {_hits(1, 'AKIA[A-Z0-9]+')} UNION ALL {_hits(2, '[0-9a-f]{16,}')} UNION ALL {_hits(3, _USER)} UNION ALL {_hits(4, _ENDPOINT)}),
@@ -32,12 +29,19 @@ p AS (SELECT rid, family, length(x) AS n, sum(length(gap) + length(x)) OVER (PAR
 q AS (SELECT rid, e - n AS s, e, CASE WHEN family = 0 AND v >= 12 THEN 0 WHEN family = 0 AND v >= 6 THEN 3 WHEN family = 1 AND v >= 18 THEN 1 WHEN family = 1 AND v >= 8 THEN 4
       WHEN family = 2 THEN 2 WHEN family = 3 AND v >= 3 THEN 5 WHEN family = 4 THEN 6 END AS rank FROM p),
 r AS (SELECT * FROM q WHERE rank IS NOT NULL),
-k AS (SELECT * FROM r WHERE CASE WHEN rank < 3 THEN true WHEN rank = 3 THEN {_near(1, 4, 5)} WHEN rank IN (4, 5) THEN {_near(0, 2, 3)} ELSE {_near(1, 4, 5)} AND {_near(0, 2, 3)} END),
-o AS (SELECT rid, rank, s, ['assign', 'access', 'hex', 'weak_assign', 'weak_access', 'user', 'endpoint'][rank + 1] || ':' || s || ':' || e AS w FROM k),
+j AS (SELECT r.rid, r.rank, r.s, r.e, x.rank IN (0, 2, 3) AS secret,
+             min(CASE WHEN x.e <= r.s THEN [r.s - x.e, 0, -x.s, -x.rank, x.s, x.e, x.rank] ELSE [x.s - r.e, 1, x.e, x.rank, x.s, x.e, x.rank] END) AS m
+      FROM r JOIN r x ON x.rid = r.rid AND x.rank < 6 AND ((x.e <= r.s AND r.s - x.e <= 200) OR (x.s >= r.e AND x.s - r.e <= 200)) WHERE r.rank >= 3 GROUP BY ALL),
+n AS (SELECT rid, rank, s, e, {_KINDS}[m[7] + 1] || ':' || m[5] || ':' || m[6] AS partner, secret FROM j
+      WHERE CASE WHEN rank = 3 THEN NOT secret WHEN rank IN (4, 5) THEN secret ELSE true END),
+k AS (SELECT rid, rank, s, e, '' AS partners FROM r WHERE rank < 3
+      UNION ALL SELECT rid, rank, s, e, string_agg(partner, '+' ORDER BY secret DESC) FROM n GROUP BY rid, rank, s, e HAVING count(*) = CASE rank WHEN 6 THEN 2 ELSE 1 END),
+o AS (SELECT rid, rank, s, {_KINDS}[rank + 1] || ':' || s || ':' || e AS w, partners FROM k),
 a AS (SELECT rid, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank >= 3) AS n3,
-      string_agg(w, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(w, ',' ORDER BY s, rank) AS spans FROM o GROUP BY rid)
+      string_agg(w, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(w, ',' ORDER BY s, rank) AS spans,
+      string_agg(w || '>' || partners, ',' ORDER BY s, rank) FILTER (rank >= 3) AS links FROM o GROUP BY rid)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n3, 0) AS n_linked
+       coalesce(spans, '') AS spans, coalesce(n3, 0) AS n_linked, coalesce(links, '') AS links
 FROM d LEFT JOIN a USING (rid)
 """
 

@@ -27,6 +27,37 @@ def secrets(text):
     return (*n, sha(",".join(f"{k}:{a}:{b}" for k, a, b in found)))
 
 
+KINDS = ["assign", "access", "hex", "weak_assign", "weak_access", "user", "endpoint"]
+USER = re.compile(ASSIGN.pattern.replace("password|passwd|secret|token|api_?key", "user_?name|user|login|account|client_id|access_key_id"), re.ASCII)
+ENDPOINT = re.compile(r"""(?i:(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+)""", re.ASCII)
+
+
+def linked(text, scope=200):
+    """All spans, and the weak ones with their partners, by trying every pair."""
+    found = [(m.start(), m.end(), 0 if len(m[2]) >= 12 else 3) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), m.end(), 1 if len(m[0]) >= 18 else 4) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 8]
+    found += [(m.start(), m.end(), 2) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), m.end(), 5) for m in USER.finditer(text) if len(m[2]) >= 3]
+    found += [(m.start(), m.end(), 6) for m in ENDPOINT.finditer(text)]
+    show = lambda s, e, k: f"{KINDS[k]}:{s}:{e}"
+
+    def partner(s, e, kinds):
+        near = [(s - y, 0, -x, -k, (x, y, k)) for x, y, k in found if k in kinds and y <= s and s - y <= scope]
+        near += [(x - e, 1, y, k, (x, y, k)) for x, y, k in found if k in kinds and x >= e and x - e <= scope]
+        return show(*min(near)[4]) if near else None
+
+    spans, links = [], []
+    for s, e, k in sorted(found, key=lambda f: (f[0], f[2], f[1])):
+        needs = {3: [(1, 4, 5)], 4: [(0, 2, 3)], 5: [(0, 2, 3)], 6: [(0, 2, 3), (1, 4, 5)]}.get(k, [])
+        parts = [partner(s, e, kinds) for kinds in needs]
+        if None in parts:
+            continue
+        spans.append(show(s, e, k))
+        if needs:
+            links.append(show(s, e, k) + ">" + "+".join(parts))
+    return ",".join(spans), ",".join(links)
+
+
 def substring(rows, window=50):
     owner = {}
     key = lambda d: (d is None, d or 0)
