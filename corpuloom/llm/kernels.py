@@ -1,7 +1,12 @@
-"""Vectorised numpy kernels over UTF-8 text: words, rolling hashes, sliding minima."""
+"""Vectorised numpy kernels over UTF-8 text: word hashes, rolling hashes, sliding minima.
+
+Words of the contracts are what bytes.split() gives: it splits on \\x20 and \\x09-\\x0D.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -10,10 +15,6 @@ _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
-#: White space of the contracts: \x20 and \x09-\x0D. bytes.split() splits on the same six bytes.
-WS = np.zeros(256, bool)
-WS[[0x20, 9, 10, 11, 12, 13]] = True
-
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -50,43 +51,41 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndar
     return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(U64) * U64(_ODD[1]))
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that are not white space."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~WS[data]
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
-def word_hashes(text: bytes, block: int = 1 << 20) -> np.ndarray:
-    """A hash of each word; long texts go through in blocks cut at white space, so memory stays bounded."""
-    found, at = [], 0
-    whole = np.frombuffer(text, np.uint8)
-    while at < len(whole):
-        end = min(len(whole), at + block)
-        while end < len(whole):  # the block must not end inside a word
-            gap = np.flatnonzero(WS[whole[end : end + 4096]])
-            if len(gap):
-                end += int(gap[0])
-                break
-            end = min(len(whole), end + 4096)
-        data = whole[at:end]
-        s, e = word_bounds(data)
-        if len(s):
-            found.append(spans(data, s, e, _BYTE, _ODD[0]))
-        at = end
-    return np.concatenate(found) if found else np.empty(0, U64)
-
-
-def grams(h: np.ndarray, n: int, base: int = _ODD[1]) -> np.ndarray:
-    """A hash of each run of n consecutive hashes."""
+class Digests(dict):
+    """16-byte BLAKE2b digests of words, kept for words that come again."""
+
+    most = 1 << 19
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        made = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return made
+
+
+_digests = Digests()
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """A row of two 64-bit hashes for each word; no two words are known that share them."""
+    return np.frombuffer(b"".join(map(_digests.__getitem__, words)), "<u8").reshape(-1, 2)
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n consecutive hashes, put together from runs of powers of two; mixing in between leaves nothing linear to cancel."""
     if len(h) < n:
         return np.empty(0, U64)
-    p, inv = powers(base, len(h) + 1)
-    c = np.empty(len(h) + 1, U64)
-    c[0] = 0
-    np.cumsum(mix(h ^ U64(base)) * p[: len(h)], out=c[1:])
-    return mix((c[n:] - c[:-n]) * inv[: len(h) - n + 1])
+    size = len(h) - n + 1
+    out, at, run, width = None, 0, mix(h ^ U64(_ODD[2])), 1
+    while True:
+        if n & width:
+            part = run[at : at + size]
+            out = part if out is None else mix(out * U64(_ODD[0]) + part)
+            at += width
+        if width * 2 > n:
+            return out
+        run = mix(run[:-width] * U64(_ODD[1]) + run[width:])
+        width *= 2
 
 
 def sliding(x: np.ndarray, n: int, op=np.minimum) -> np.ndarray:

@@ -91,13 +91,48 @@ def test_op2_substring(spark, docs):
 
 
 def test_op2_shards(spark, docs, monkeypatch):
+    """Many small shards, hot ones in many parts: the same rows."""
     monkeypatch.setattr(substring, "SHARD_PHRASES", 3)
-    rows = [(d, t) for d, t in pairs(docs) if t]
-    shard = [t.encode().split() for _, t in rows]
-    recurring = [substring.anchors(substring.K.word_hashes(t.encode()), 50, 8)[0] for _, t in rows]
-    got = substring.locate(shard[:12], recurring[:12], 50, 8)
-    for words, (a, _) in zip(shard, got):  # every phrase recurs: every window is a candidate
-        assert len(a) == max(0, len(words) - 49)
+    monkeypatch.setattr(substring, "PART_BYTES", 3000)
+    got = substring.repeated(spark, docs).collect()
+    assert counted(got) == counted(R.substring(pairs(docs)))
+
+
+def test_op2_locates_text():
+    """The automaton finds whole phrases wherever they stand, and windows come from those alone."""
+    words = [f"w{i % 37}" for i in range(120)] + ["é", "😀"] * 40
+    phrases = [" ".join(words[i : i + 8]) for i in (3, 130)]
+    at = substring.locate(substring.automaton(phrases), [w.encode() for w in words], 8)
+    assert sorted(at.tolist()) == [i for i in range(len(words) - 7) if " ".join(words[i : i + 8]) in phrases]
+    every = np.arange(len(words) - 7)
+    places, prints = substring.candidates([w.encode() for w in words], every, 50, 8)
+    assert places.tolist() == list(range(len(words) - 49)) and len(prints) == 16 * len(places)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_op2_thue_morse_words(spark):
+    """Words that polynomial hashes modulo 2^64 can't tell apart are no repeats."""
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    words = [f"x{i}" for i in range(61)]
+    rows = [(1, " ".join(words[:30] + [word] + words[31:])), (2, " ".join(words[:30] + [other] + words[31:])), (3, " ".join(["zero"] + words[:30] + [other] + words[31:]))]
+    # and passages of two words in that order
+    rows += [(4 + i, " ".join({"a": "left", "b": "right"}[c] for c in t)) for i, t in enumerate((word, other))]
+    got = substring.repeated(spark, spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    want = R.substring(rows)
+    assert counted(got) == counted(want) and {r["doc_id"]: r["n_removed"] for r in got}[2] == 0
+
+
+def test_op2_last_ids_and_texts(spark):
+    """A null doc_id comes after the greatest one; the kept text is handed out on request."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    top = (1 << 63) - 1
+    rows = [(top, passage + " end"), (None, "begin " + passage), (5, "other " + passage)]
+    got = {r["doc_id"]: r for r in substring.repeated(spark, spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert (got[5]["n_removed"], got[top]["kept_text"], got[None]["kept_text"]) == (0, "end", "begin")
 
 
 def test_op3_exact(spark, docs):
