@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from corpuloom.session import Scratch
 
 
-def _star(scratch: Scratch, edges: DataFrame, large: bool, name: str) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node's neighbours (its greater ones, or its smaller ones and itself) move to its least neighbour.
 
-    Least neighbours come from an aggregation that combines before its shuffle. They are written
-    before the join that takes them back, so that the join has an exchange of its own on both sides
-    and a node with very many neighbours can be split in it.
+    Least neighbours come from an aggregation that combines before its shuffle. The join that takes
+    them back is on the nodes' complements, by which nothing is partitioned yet: so it has an
+    exchange of its own on both sides, and a node with very many neighbours can be split in it.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = scratch.table(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).withColumn("m", F.least("n", "m")), name)
-    moved = both.join(least, F.col("a") == F.col("n"))
+    least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).withColumn("m", F.least("n", "m"))
+    moved = both.join(least, F.bitwise_not("a") == F.bitwise_not("n"))
     if large:
         moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # a > b: b and a itself hang on the least of a's smaller neighbours
@@ -37,7 +37,6 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
         done = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() == 0
         if done and now.join(now.select(F.col("a").alias("c")), F.col("b") == F.col("c"), "left_semi").limit(1).count() == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        wide = scratch.table(_star(scratch, now, True, f"{name}-{k}-least"), f"{name}-{k}-large")
-        new = scratch.table(_star(scratch, wide, False, f"{name}-{k}-smaller"), f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}", f"{name}-{k}-least", f"{name}-{k}-large", f"{name}-{k}-smaller")
+        new = scratch.table(_star(_star(now, True), False), f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}")
         now = new

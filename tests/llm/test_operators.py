@@ -313,20 +313,39 @@ def test_op9_vectors(spark, block):
     assert vectors.near_dedup(spark, df.limit(0)).collect() == []
 
 
-def test_op9_recall():
-    """Pairs at a cosine of 0.95 nearly always share a filter."""
+@pytest.mark.parametrize("block", [16, 128])
+def test_op9_groups_by_filters(spark, block, monkeypatch):
+    """Large groups, dense ones that meet as a whole and chains that meet by filters: every link is counted once."""
+    monkeypatch.setattr(vectors, "SKETCHES", 64)
+    rng = np.random.default_rng(10)
+    dense = rng.standard_normal(64) + rng.standard_normal((250, 64)) * 0.15
+    turn = np.linspace(0, 6, 500)[:, None]  # neighbours on a curve link, its ends don't
+    axes = np.linalg.qr(rng.standard_normal((64, 4)))[0]
+    curve = np.hstack([np.cos(turn), np.sin(turn), np.cos(2 * turn), np.sin(2 * turn)]) @ axes.T + rng.standard_normal((500, 64)) * 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([dense, curve, dense[:5], -dense[:30]]))]
+    for codes in (4, 8):
+        got = vectors.near_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block, codes=codes).collect()
+        assert counted(got) == counted(R.vectors(rows))
+
+
+@pytest.mark.parametrize("codes", [4, 6, 8, 16, 40, 64, 100, 160, 300])
+def test_op9_recall(codes):
+    """Pairs at a cosine of 0.95 nearly always share a filter, whatever the number of codes; their sketches are near."""
     rng = np.random.default_rng(9)
-    for codes in (16, 40):
-        x = rng.standard_normal((1500, 64))
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        y = rng.standard_normal((1500, 64))
-        y -= (y * x).sum(1)[:, None] * x
-        y /= np.linalg.norm(y, axis=1)[:, None]
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((3000, 64))
+    y -= (y * x).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y
+    a, b = vectors.filters(x, codes), vectors.filters(y, codes)
+    assert a.shape[1] == np.prod(vectors.effort(codes))
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.998
+    assert (np.bitwise_count(vectors.sketches(x) ^ vectors.sketches(y)).sum(1) <= vectors.reach(0.95)).all()
+    if codes <= 16:
         books = vectors.codebooks(64, codes)
-        a, b = vectors.decode(x, books, vectors.EXPECT), vectors.decode(0.95 * x + np.sqrt(1 - 0.95**2) * y, books, vectors.EXPECT)
-        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.995
         every = sum(np.ix_(*[x[0][lo:hi] @ c.T for lo, hi, c in books])).ravel()
-        assert set(a[0]) == set(np.argsort(-every)[: vectors.EXPECT])
+        assert set(vectors.decode(x[:1], books, 8)[0]) == set(np.argsort(-every)[:8])
 
 
 def uneven(which: str, n: int, rng):
@@ -348,10 +367,10 @@ def test_op9_uneven_vectors(spark, which):
 
 
 @pytest.mark.parametrize("which", ["sparse", "decaying"])
-@pytest.mark.parametrize("codes", [16, 64, 160])
+@pytest.mark.parametrize("codes", [4, 16, 64, 160])
 def test_op9_uneven_recall(which, codes):
     x, y = uneven(which, 1500, np.random.default_rng(4))
-    a, b = vectors.filters(x, codes, vectors.EXPECT), vectors.filters(y, codes, vectors.EXPECT)
+    a, b = vectors.filters(x, codes), vectors.filters(y, codes)
     assert (np.diff(a) > 0).all()
     assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.998
 
