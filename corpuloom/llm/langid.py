@@ -5,8 +5,10 @@ embeddings of all of them are averaged and a linear softmax scores the languages
 weights are trained by stochastic gradient descent in numpy, on at most ``most_rows`` labelled
 rows chosen by a hash (equal quotas for the languages; what rare ones leave goes to the others).
 Cross-validation over all of them sets the temperature of the softmax, and the score and the share of
-known subwords below which a text is rejected. For prediction embeddings times weights
-make one table of bucket scores, so each whole text costs one gather.
+known subwords below which a text is rejected: the ``reject`` quantiles (0.001) over texts that the
+folds' models have not seen, so that about one clean text of a thousand may go by each, widened by a
+margin that falls with their number. For prediction embeddings times weights make one table of bucket
+scores, so each whole text costs one gather. Long texts go through in blocks.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected. If no
 row can be learned from, so is everything. A null doc_id counts as the empty text in the fold. Rows
@@ -22,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuloom.llm import kernels as K
@@ -80,7 +82,8 @@ def buckets(text: str):
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # BUCKETS x (languages + 1): embeddings times weights, and whether training saw the bucket
+    table: np.ndarray  # BUCKETS x (n + 1): embeddings (times weights where that is no wider), and whether training saw the bucket
+    weights: np.ndarray | None  # embeddings to languages, where there are more languages than dimensions
     bias: np.ndarray
     temperature: float
     least: float  # score
@@ -88,14 +91,17 @@ class Model:
 
     def probabilities(self, text: str) -> tuple[np.ndarray, float] | None:
         """Of each language, and the share of the text's subwords that training saw."""
-        total, n = np.zeros(len(self.langs) + 1), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for ids in buckets(text):
             n += len(ids)
             if len(ids) > BUCKETS:
                 total += np.bincount(ids, minlength=BUCKETS) @ self.table
             else:
                 total += self.table[ids].sum(0, dtype=np.float64)
-        return (softmax((total[:-1] / n + self.bias) / self.temperature), known(total[-1], n)) if n else None
+        if not n:
+            return None
+        mean = total[:-1] / n
+        return softmax(((mean if self.weights is None else mean @ self.weights) + self.bias) / self.temperature), known(total[-1], n)
 
     def score(self, p: np.ndarray, seen: float) -> float:
         """The best probability, less where too few subwords are known to trust it."""
@@ -115,8 +121,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def descend(examples: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores of the buckets for each language, the languages' offsets, and which buckets were seen."""
+def descend(examples: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings of the buckets, weights and offsets of the languages, and which buckets were seen."""
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     W, b = rng.normal(0, 0.1, (DIM, n_langs)), np.zeros(n_langs)
@@ -137,7 +143,8 @@ def descend(examples: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, ep
     seen = np.zeros(BUCKETS, bool)  # other buckets hold nothing but their random start
     for ids, _, _ in examples:
         seen[ids] = True
-    return np.where(seen[:, None], E @ W, 0), b, seen
+    E[~seen] = 0
+    return E, W, b, seen
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12, rate: float = 2.0, seed: int = 5, reject: float = 0.001) -> Model | None:
@@ -150,10 +157,10 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12,
     n, folds = len(rows), min(FOLDS, len(rows))
     logits, share, truth = np.zeros((n, len(langs))), np.zeros(n), np.array([r[2] for r in rows])
     for k in range(folds if n > 1 else 0):
-        table, b, seen = descend([r for j, r in enumerate(rows) if j % folds != k], len(langs), epochs, rate, seed)
+        E, W, b, seen = descend([r for j, r in enumerate(rows) if j % folds != k], len(langs), epochs, rate, seed)
         for j in range(k, n, folds):
             ids, c, _ = rows[j]
-            logits[j] = (c / c.sum()) @ table[ids] + b
+            logits[j] = (c / c.sum()) @ E[ids] @ W + b
             share[j] = known(c[seen[ids]].sum(), c.sum())
 
     def scores(t: float, z: np.ndarray = logits) -> np.ndarray:
@@ -167,17 +174,18 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12,
     # Reject what lies below what all but a share ``reject`` of the calibrating texts reach, with a margin. Even mixtures
     # of two languages calibrate the score too, so that a clean text in two languages stays. Fewer texts widen the
     # margins, by a power and as if two more texts knew half of their subwords.
-    wide = 1 + 10 / np.sqrt(n)
+    margin = 1 + 10 / np.sqrt(n)
     for k in range(folds):
         at = np.arange(k, n, folds)
         for by in range(1, min(MIXED + 1, len(at))):
             other = np.roll(at, by)
             differ = truth[at] != truth[other]
             right = np.append(right, scores(temperature, (logits[at] + logits[other])[differ] / 2).max(1))
-    least = float(np.quantile(right, reject)) ** wide if len(right) else 0.0
-    least_seen = ((n * float(np.quantile(share, reject)) + 1) / (n + 2)) ** (2 + wide)
-    table, b, seen = descend(rows, len(langs), epochs, rate, seed)
-    return Model(langs, np.hstack([table, seen[:, None]]).astype(np.float32), b, temperature, least, least_seen)
+    least = float(np.quantile(right, reject)) ** margin if len(right) else 0.0
+    least_seen = ((n * float(np.quantile(share, reject)) + 1) / (n + 2)) ** (2 + margin)
+    E, W, b, seen = descend(rows, len(langs), epochs, rate, seed)
+    wide = len(langs) > DIM
+    return Model(langs, np.hstack([E if wide else E @ W, seen[:, None]]).astype(np.float32), W if wide else None, b, temperature, least, least_seen)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -197,7 +205,7 @@ def _featured(batches):
 
 
 def quotas(sizes: dict[str, int], most_rows: int) -> dict[str, int]:
-    """Rows to draw of each language: equal shares, refilled with what smaller languages leave."""
+    """Rows to draw of each language, one at least: equal shares, refilled with what smaller languages leave."""
     out, left = {}, most_rows
     for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
         out[lang] = min(n, max(1, left // (len(sizes) - i)))
@@ -205,20 +213,24 @@ def quotas(sizes: dict[str, int], most_rows: int) -> dict[str, int]:
     return out
 
 
-def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 2400, most_langs: int = 400) -> Model | None:
-    """Learn from labelled rows outside the held-out fold: at most most_rows of them (the documented bound)."""
+def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 2400) -> Model | None:
+    """Learn from labelled rows outside the held-out fold: at most most_rows of them (the documented bound).
+
+    So at most most_rows languages can be learned: of more, the most frequent (then the first by
+    name) are. Each of those gives its quota, one row at least; drawn rows are chosen by a hash.
+    """
     ship(spark)
     usable = own(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(most_langs + 1).collect()}
-    if len(sizes) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_rows).collect()}
     if not sizes:
         return None
     quota = quotas(sizes, most_rows)
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # chances leave a margin over the quota; the limit then makes the bound exact
-    chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, quota[x] / n))) for x, n in sorted(sizes.items())])
-    drawn = usable.withColumn("_u", u).where(F.col("_u") < chance).withColumn("_order", F.xxhash64("doc_id", F.lit("order"))).orderBy("_order", "doc_id", "lang", F.xxhash64("text")).limit(most_rows)
+    # Chances leave a margin over the quota, such that less than a quota comes through once in a billion draws; the rank then makes it exact.
+    asked = spark.createDataFrame([(x, quota[x], min(1.0, (2 * quota[x] + 30) / n)) for x, n in sorted(sizes.items())], "l_lang string, quota long, chance double")
+    drawn = usable.join(F.broadcast(asked), F.col("lang") == F.col("l_lang")).where(u < F.col("chance"))  # at most most_rows languages
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", F.xxhash64("text")))
+    drawn = drawn.withColumn("_rank", rank).where(F.col("_rank") <= F.col("quota"))
     rows = drawn.select("lang", "text").mapInArrow(_featured, "lang string, ids binary, counts binary").collect()  # at most most_rows, packed
     rows.sort(key=lambda r: (r["ids"], r["counts"], r["lang"]))  # whatever order tasks came in
     order = np.random.default_rng(11).permutation(len(rows)).tolist()

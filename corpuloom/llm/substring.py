@@ -228,8 +228,10 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = 50, phrase: int
         found.groupBy("fp1", "fp2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last")
         .select(F.col("fp1").alias("o1"), F.col("fp2").alias("o2"), "owner")
     )
+    # On complements nothing is partitioned yet: the join gets exchanges of its own, in which a hot window can be split.
+    same = (F.bitwise_not("fp1") == F.bitwise_not("o1")) & (F.bitwise_not("fp2") == F.bitwise_not("o2"))
     marked = (
-        found.join(owners, (F.col("fp1") == F.col("o1")) & (F.col("fp2") == F.col("o2")) & (F.col("doc") > F.col("owner")))
+        found.join(owners, same & (F.col("doc") > F.col("owner")))
         .groupBy(F.col("doc").alias("m_doc"), F.col("tag").alias("m_tag")).agg(F.collect_set("at").alias("marked"))
     )
     schema = "doc long, tag long, cut long, kept_sha binary" + ", kept_text string" * with_text

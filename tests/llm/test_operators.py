@@ -291,6 +291,22 @@ def test_op8_shards(spark, docs):
     assert counted(got) == counted(sharding.shard(spark, docs, rows_per_range=20).collect())
 
 
+def test_op8_deep_ranges(spark, monkeypatch):
+    """Ranges are divided again and again: few first ones, one hot text, null ids."""
+    monkeypatch.setattr(sharding, "FIRST", 2)
+    monkeypatch.setattr(sharding, "FINER", 4)
+    rows = [(i if i % 7 else None, "hot" if i % 3 == 0 else f"text {i}" * (i % 11)) for i in range(3000)] + [(5, "hot")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(spark, df, rows_per_range=8).collect()
+    assert counted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == counted((d, len(t) + 8, zlib.crc32(t.encode())) for d, t in rows)
+    shards = defaultdict(list)
+    for r in got:
+        shards[r["shard"]].append(r)
+    ideal, most = sum(len(t) + 8 for _, t in rows) / 24, max(len(t) + 8 for _, t in rows)
+    for rows in shards.values():
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and abs(sum(r["size"] for r in rows) - ideal) <= most
+
+
 def cluster_vectors():
     rng = np.random.default_rng(8)
     rows = []
@@ -412,6 +428,56 @@ def test_op10_few_rows_calibrate(spark):
     assert sum(got.values()) == 2400 and got["rare0"] == 3 and got["large0"] == 585
 
 
+def plain_language(model, text):
+    """The model's prediction by a loop over words and their subwords."""
+    total, n = np.zeros(model.table.shape[1]), 0
+    words, word = [], ""
+    for c in (text or "").lower() + " ":
+        word, words = (word + c, words) if c.isalpha() else ("", [*words, word] if word else words)
+    for w in words:
+        edged = "\0" + w + "\0"
+        for size in langid.GRAMS:
+            for i in range(len(edged) - size + 1):
+                h = size * 0x9E3779B1
+                for c in edged[i : i + size]:
+                    h = (h ^ (0 if c == "\0" else ord(c))) * 0x100000001B3 % 2**64
+                total += model.table[((h >> 20) ^ h) % langid.BUCKETS]
+                n += 1
+    if not n:
+        return "und", 0.0
+    mean = total[:-1] / n
+    x = ((mean if model.weights is None else mean @ model.weights) + model.bias) / model.temperature
+    p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    seen = min(1.0, (total[-1] + min(total[-1], langid.SPARE)) / n)
+    return model.langs[int(p.argmax())], float(p.max() * min(1.0, seen / model.least_seen))
+
+
+def test_op10_plain_version(spark, docs):
+    model = langid.fit(spark, docs)
+    if model is None:
+        return
+    got = langid.predict(spark, docs, model).collect()
+    want = defaultdict(list)
+    for d, t in pairs(docs):
+        if len(t or "") < 20_000:
+            want[d].append(plain_language(model, t))
+    for r in got:
+        if r["doc_id"] in want:
+            assert any(r["lang_pred"] == x and r["score"] == pytest.approx(s, abs=1e-4) for x, s in want[r["doc_id"]]) or len(want[r["doc_id"]]) > 1
+
+
+def test_op10_many_languages(spark):
+    """More label values than rows to learn from: the most frequent are learned, every document gets an answer."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.concat("lang", F.lit("-"), F.col("doc_id") % 150).alias("lang"))
+    model = langid.fit(spark, base, most_rows=80)
+    counts = Counter(r["lang"] for r in base.where(~langid.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect())
+    want = sorted(counts, key=lambda x: (-counts[x], x))[:80]
+    assert len(counts) > 80 and set(model.langs) <= set(want) and len(model.langs) >= 75  # a text without a letter teaches nothing
+    assert model.weights is not None and langid.predict(spark, base, model).count() == base.count()
+    got = langid.fit(spark, base.limit(300))
+    assert got is not None and len(got.langs) > langid.DIM
+
+
 def test_op10_language(spark, docs):
     got = langid.predict(spark, docs).collect()
     rows = docs.select("doc_id", "text", "lang").collect()
