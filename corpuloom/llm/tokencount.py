@@ -1,4 +1,4 @@
-"""Edit-aware token counts: a segment tree over the pre-tokens of a document.
+"""Edit-aware token counts: a segment tree over the pre-tokens of a document, kept between edits.
 
 Byte-level BPE never merges across pre-tokens, so a document's count is the sum over them. Leaves
 of the tree hold runs of pre-tokens, inner nodes the sums of characters and tokens below them. An
@@ -7,9 +7,16 @@ pattern looks at most three characters ahead of a pre-token) until a new boundar
 on an old one, re-encodes only what lies between, and updates the sums from the touched leaves to
 the root. Everything else keeps its counts.
 
+build() makes the state table, a row per document: its text and its tree (lengths and counts of the
+pre-tokens, pre-tokens per leaf, sums of the nodes). update() takes a state table with edits and
+gives the next one: trees come from their columns, and no text is split or encoded but around the
+edits, so what an edit costs in encoding depends on its length, not on the document's. Whoever
+keeps counts under edits writes the state and joins edits to it; count() does both steps at once.
+
 Defined results: a null text counts as empty; edits are clipped to the text they meet; null or no
-edits leave a document as it is. Rows that repeat each other give one row each. Extra columns are
-ignored. No rows: no rows.
+edits leave a document as it is. Rows that repeat each other give one row each. Long texts are
+split in blocks of 2 MB; a pre-token of any length is one. Extra columns are ignored by build() and
+count() and handed through by nothing. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -79,17 +86,39 @@ class Tree:
         self.pieces, self.reencoded = pieces, 0
         self._build(text, *pieces.split(text))
 
+    @classmethod
+    def restored(cls, text: str, lengths: bytes, counts: bytes, leaves: bytes, chars: bytes, tokens: bytes, pieces: Pieces) -> "Tree":
+        """The tree of which state() gave these."""
+        tree = cls.__new__(cls)
+        tree.pieces, tree.reencoded = pieces, 0
+        sizes = np.frombuffer(leaves, "<i4")
+        at = np.cumsum(sizes)[:-1]
+        tree.lengths = np.split(np.frombuffer(lengths, "<i4").astype(np.int64), at)
+        tree.counts = np.split(np.frombuffer(counts, "<i4").astype(np.int64), at)
+        tree.chars, tree.tokens = np.frombuffer(chars, "<i8").copy(), np.frombuffer(tokens, "<i8").copy()
+        tree.size = len(tree.chars) // 2
+        ends = np.cumsum(tree.chars[tree.size : tree.size + len(sizes)]).tolist()
+        tree.texts = [text[a:b] for a, b in zip([0, *ends], ends)]
+        return tree
+
+    def state(self) -> tuple:
+        """The text, then the tree as little-endian numbers."""
+        small = lambda parts: np.concatenate(parts).astype("<i4").tobytes()
+        leaves = np.array([len(x) for x in self.lengths], "<i4").tobytes()
+        return self.text(), small(self.lengths), small(self.counts), leaves, self.chars.astype("<i8").tobytes(), self.tokens.astype("<i8").tobytes()
+
     def _build(self, text: str, lengths: np.ndarray, counts: np.ndarray) -> None:
         at = list(range(0, len(lengths), LEAF)) or [0]
         self.lengths = [lengths[i : i + LEAF] for i in at]
         self.counts = [counts[i : i + LEAF] for i in at]
-        ends = np.cumsum([x.sum() for x in self.lengths]).tolist()
+        chars, tokens = (np.add.reduceat(np.append(x, 0), at) for x in (lengths, counts))
+        ends = np.cumsum(chars).tolist()
         self.texts = [text[a:b] for a, b in zip([0, *ends], ends)]
         self.size = 1 << max(0, (len(at) - 1).bit_length())
         self.chars = np.zeros(2 * self.size, np.int64)
         self.tokens = np.zeros(2 * self.size, np.int64)
-        self.chars[self.size : self.size + len(at)] = [x.sum() for x in self.lengths]
-        self.tokens[self.size : self.size + len(at)] = [x.sum() for x in self.counts]
+        self.chars[self.size : self.size + len(at)] = chars
+        self.tokens[self.size : self.size + len(at)] = tokens
         level = self.size
         while level > 1:
             for sums in (self.chars, self.tokens):
@@ -165,22 +194,44 @@ class Tree:
             self._build(self.text(), np.concatenate(self.lengths), np.concatenate(self.counts))
 
 
-_SCHEMA = "doc_id long, n_pretokens long, tokens_before long, n_edits long, tokens_after long, n_reencoded long, n_chars_after long"
+STATE = "doc_id long, tokens long, text string, lengths binary, counts binary, leaves binary, chars binary, sums binary"
+COUNTS = "n_pretokens long, tokens_before long, n_edits long, tokens_after long, n_reencoded long, n_chars_after long"
+
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
-def _counted(batches, path: str, pattern: str):
+
+def _built(batches, path: str, pattern: str):
     pieces = coder(path, pattern)
-    names = [c.split()[0] for c in _SCHEMA.split(", ")]
     for batch in K.bounded(batches):
         rows = []
-        for doc, raw, edits in zip(batch.column("doc_id").to_pylist(), K.texts(batch.column("text")), batch.column("edits").to_pylist()):
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), K.texts(batch.column("text"))):
             tree = Tree((raw or b"").decode(), pieces)
+            rows.append((doc, tree.total, *tree.state()))
+        if rows:
+            yield _batch(rows, STATE)
+
+
+def _updated(batches, path: str, pattern: str, with_state: bool):
+    pieces = coder(path, pattern)
+    schema = f"{STATE}, {COUNTS}" if with_state else f"doc_id long, {COUNTS}"
+    parts = ("text", "lengths", "counts", "leaves", "chars", "sums")
+    for batch in K.bounded(batches):
+        rows = []
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "edits", *parts)]
+        for doc, edits, *state in zip(*columns):
+            tree = Tree.restored(*state, pieces)
             before, n = tree.total, sum(map(len, tree.lengths))
             edits = [e for e in edits or [] if e is not None]
             for e in edits:
                 tree.edit(e["start"] or 0, e["delete"] or 0, e["insert"] or "")
-            rows.append((doc, n, before, len(edits), tree.total, tree.reencoded, int(tree.chars[1])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+            kept = (tree.total, *tree.state()) if with_state else ()
+            rows.append((doc, *kept, n, before, len(edits), tree.total, tree.reencoded, int(tree.chars[1])))
+        if rows:
+            yield _batch(rows, schema)
 
 
 def redactions(text: str = "text") -> Column:
@@ -191,13 +242,33 @@ def redactions(text: str = "text") -> Column:
     return F.array(step(3, 20, ""), step(2, 0, "\n\n"), step(1, 12, " [removed] ")).cast(kind)
 
 
-def count(spark: SparkSession, docs: DataFrame, edits: Column | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """A row per row of docs (doc_id, text and the edits to apply in order, each placed in the text as it then is)."""
-    ship(spark)
+def _tokenizer(path: str | None, pattern: str | None) -> dict[str, str]:
     if path is None or pattern is None:
         import public_tokenizers
 
         path = path or str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
         pattern = pattern or public_tokenizers.PATTERN
-    rows = own(docs, "doc_id", "text").withColumn("edits", edits if edits is not None else redactions())
-    return rows.mapInArrow(partial(_counted, path=path, pattern=pattern), _SCHEMA)
+    return {"path": path, "pattern": pattern}
+
+
+def build(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """docs (doc_id, text) -> the state table: doc_id, tokens, text and its tree."""
+    ship(spark)
+    return own(docs, "doc_id", "text").mapInArrow(partial(_built, **_tokenizer(path, pattern)), STATE)
+
+
+def update(spark: SparkSession, state: DataFrame, edits: Column | str = "edits", with_state: bool = True, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """A state table and a column of edits in it (start, delete, insert: to apply in order, each placed in the text as it then is) -> the next state and what it took.
+
+    The columns of the state, if asked for, and n_pretokens and tokens_before (before the edits),
+    n_edits, tokens_after, n_reencoded (pre-tokens encoded anew) and n_chars_after.
+    """
+    ship(spark)
+    names = [c.split()[0] for c in STATE.split(", ")]
+    rows = state.select(*names, (F.col(edits) if isinstance(edits, str) else edits).alias("edits"))
+    return rows.mapInArrow(partial(_updated, with_state=with_state, **_tokenizer(path, pattern)), f"{STATE}, {COUNTS}" if with_state else f"doc_id long, {COUNTS}")
+
+
+def count(spark: SparkSession, docs: DataFrame, edits: Column | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """A row per row of docs (doc_id, text): doc_id and what update() tells of the edits."""
+    return update(spark, build(spark, docs, path, pattern), edits if edits is not None else redactions(), False, path, pattern)

@@ -258,6 +258,31 @@ def test_op7_edits(spark, docs):
     assert counted(got) == counted(want)
 
 
+def test_op7_kept_state(spark, docs, tmp_path):
+    """Two batches of edits over a written state: full recounts agree, and only what lies around the edits is encoded again."""
+    import public_tokenizers
+
+    pieces = tokencount.coder(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    tokencount.build(spark, docs).write.parquet(f"{tmp_path}/0")
+    second = F.array(F.struct(F.lit(3).cast("long").alias("start"), F.lit(5).cast("long").alias("delete"), F.lit("new word, l'été").alias("insert")))
+    for k, edits in enumerate((tokencount.redactions(), second)):
+        tokencount.update(spark, spark.read.parquet(f"{tmp_path}/{k}"), edits).write.parquet(f"{tmp_path}/{k + 1}")
+    rows = spark.read.parquet(f"{tmp_path}/2").collect()
+    assert len(rows) == docs.count()
+    want = []
+    for r in docs.withColumn("edits", tokencount.redactions()).select("doc_id", "text", "edits").collect():
+        text = r["text"] or ""
+        for e in [*r["edits"], {"start": 3, "delete": 5, "insert": "new word, l'été"}]:
+            at = min(e["start"], len(text))
+            text = text[:at] + e["insert"] + text[at + e["delete"] :]
+        want.append((r["doc_id"], text, len(pieces.encoding.encode_ordinary(text)), len(text)))
+    assert counted((r["doc_id"], r["text"], r["tokens"], r["n_chars_after"]) for r in rows) == counted(want)
+    for r in rows:
+        tree = tokencount.Tree(r["text"], pieces)
+        assert np.array_equal(np.concatenate(tree.lengths), np.frombuffer(r["lengths"], "<i4")) and np.array_equal(np.concatenate(tree.counts), np.frombuffer(r["counts"], "<i4"))
+        assert r["n_reencoded"] <= 60 or "same same" in r["text"]
+
+
 def test_op7_tree():
     import public_tokenizers
 
