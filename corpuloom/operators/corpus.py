@@ -127,3 +127,9 @@ def vectors(counts: DataFrame, value: str = "tf", keys: tuple[str, ...] = ("doc_
 def top(rows: DataFrame, group: str, by: Column, tie: str, k: int) -> DataFrame:
     """The k best rows of each group; ties go by a second key. Spark limits before its shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(by.desc(), tie))).where(F.col("rank") <= k)
+
+
+def class_sizes(docs: DataFrame, label: str, size: str) -> DataFrame:
+    """Per class its documents and their greatest size, and how many classes there are."""
+    each = docs.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("largest"))
+    return each.crossJoin(F.broadcast(each.agg(F.count(F.lit(1)).alias("n_classes"))))  # one row

@@ -205,11 +205,19 @@ def regression_figures(predictions: DataFrame) -> DataFrame:
 
 
 def per_user(rows: DataFrame, weights: DataFrame, user: str = "user_id") -> DataFrame:
-    """Binary decisions of a linear model of each user's own: rows (user, id, features (idx, val)), weights (user, w: bias first)."""
-    from corpuloom.functions.arrays import sparse_dense_dot
+    """Decisions of a linear model of each user's own: rows (user, id, features (idx, val)), weights (user, w: bias first).
 
+    w is one vector (pred: whether its decision is positive) or an array of a vector per class
+    (pred: the place of the greatest decision, the first of equal ones).
+    """
+    from corpuloom.functions.arrays import argmax, sparse_dense_dot
+
+    joined = rows.join(weights, user)
+    if weights.schema["w"].dataType.simpleString().startswith("array<array"):
+        z = F.transform("w", lambda w: sparse_dense_dot(F.col("features"), w, bias=True))
+        return joined.withColumn("decision", z).withColumn("pred", argmax(F.col("decision")).cast("int")).drop("w")
     z = sparse_dense_dot(F.col("features"), F.col("w"), bias=True)
-    return rows.join(weights, user).withColumn("decision", z).withColumn("pred", (F.col("decision") > 0).cast("int")).drop("w")
+    return joined.withColumn("decision", z).withColumn("pred", (F.col("decision") > 0).cast("int")).drop("w")
 
 
 def transposed(weights: DataFrame, key: str = "user_id", vector: str = "w") -> DataFrame:

@@ -105,3 +105,9 @@ def selected_questions(posts: DataFrame, edges: DataFrame, least: int = 2, most:
     kept = joined.join(good, "question", "left_semi").join(edges.select(F.col("src").alias("asker")).distinct(), "asker", "left_semi")
     links = edges.select(F.col("src").alias("asker"), F.col("dst").alias("answerer")).distinct()
     return kept.join(links, ["asker", "answerer"], "left_semi").select("question", "asker", "answer", "answerer")
+
+
+def answer_folds(posts: DataFrame, questions: DataFrame) -> DataFrame:
+    """Answers with fold 0 if they answer one of the selected questions (question), else 1."""
+    chosen = questions.select(F.col("question").alias("parent_id"), F.lit(0).alias("fold")).distinct()
+    return posts.where(F.col("parent_id") != -1).join(chosen, "parent_id", "left").withColumn("fold", F.coalesce("fold", F.lit(1)))

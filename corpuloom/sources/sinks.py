@@ -14,6 +14,27 @@ def text(rows: DataFrame, line: Column, path: str, order: list[str] | None = Non
     out.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def named_files(rows: DataFrame, name: str, content: str, path: str, suffix: str = ".txt") -> None:
+    """A file per row, named by it: what formats of one file per user or item ask for.
+
+    Tasks write the files into folders of their own in the same place; the driver then renames
+    one after the other, which no writer of Spark can do, so this is for as many files as a folder may hold.
+    """
+    spark = rows.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    path = path.rstrip("/")
+    whole = rows.groupBy(F.col(name).cast("string").alias("_file")).agg(F.first(content).alias("value"))
+    whole.write.mode("overwrite").partitionBy("_file").text(f"{path}/_parts")
+    fs = hadoop.Path(path).getFileSystem(conf)
+    for folder in fs.listStatus(hadoop.Path(f"{path}/_parts")):
+        key = folder.getPath().getName()
+        if key.startswith("_file="):
+            for part in fs.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    fs.rename(part.getPath(), hadoop.Path(f"{path}/{key.removeprefix('_file=')}{suffix}"))
+    fs.delete(hadoop.Path(f"{path}/_parts"), True)
+
+
 def fields(*columns: str | Column, sep: str = "\t") -> Column:
     return F.concat_ws(sep, *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
 
