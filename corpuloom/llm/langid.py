@@ -231,7 +231,8 @@ def fit(spark: SparkSession, docs: DataFrame, most_rows: int = 2400) -> Model |
     drawn = usable.join(F.broadcast(asked), F.col("lang") == F.col("l_lang")).where(u < F.col("chance"))  # at most most_rows languages
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", F.xxhash64("text")))
     drawn = drawn.withColumn("_rank", rank).where(F.col("_rank") <= F.col("quota"))
-    rows = drawn.select("lang", "text").mapInArrow(_featured, "lang string, ids binary, counts binary").collect()  # at most most_rows, packed
+    drawn = drawn.select("lang", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a language's rows came out of one task
+    rows = drawn.mapInArrow(_featured, "lang string, ids binary, counts binary").collect()  # at most most_rows, packed
     rows.sort(key=lambda r: (r["ids"], r["counts"], r["lang"]))  # whatever order tasks came in
     order = np.random.default_rng(11).permutation(len(rows)).tolist()
     unpack = lambda b: np.frombuffer(b, "<i4").astype(np.int64)
