@@ -3,8 +3,7 @@
 Rows: y, idx (array of feature indices from 0), val, weight (optional). A bias is one more feature
 of value 1, penalized like the others. A gradient is as long as the features (times the classes),
 which is checked; each evaluation is one pass over the cached rows, and partitions give one partial
-gradient each, summed by an aggregation. Hinge losses without a gradient at the corner are fitted by
-Spark's own estimators.
+gradient each, summed by an aggregation. Losses without a gradient at their corner have it rounded off.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +23,10 @@ from corpuloom.operators.optimize import Result, lbfgs
 from corpuloom.session import ship
 
 MOST_WEIGHTS = 20_000_000
-LOSSES = ("logistic", "squared_hinge", "squared_epsilon", "multinomial", "crammer_singer")
+LOSSES = ("logistic", "hinge", "squared_hinge", "epsilon", "squared_epsilon", "multinomial", "crammer_singer")
+REGRESSION = ("epsilon", "squared_epsilon")
+#: Losses with a corner are quadratic over so much of the margin behind it, which moves a value by half of that at most.
+CORNER = 0.01
 
 
 @dataclass
@@ -37,11 +37,24 @@ class Linear:
     fitted: Result | None = None
 
 
+def _cornered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """max(0, x) with its corner rounded off, and the slope."""
+    slope = np.clip(x / CORNER, 0, 1)
+    return np.where(x > CORNER, x - CORNER / 2, slope * slope * CORNER / 2), slope
+
+
 def _loss(loss: str, z: np.ndarray, y: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """Values and derivatives by the margins z (rows x outputs); y is a sign, a class place or a number."""
     if loss == "logistic":
         m = y * z[:, 0]
         return np.logaddexp(0, -m), (-y / (1 + np.exp(m)))[:, None]
+    if loss == "hinge":
+        value, slope = _cornered(1 - y * z[:, 0])
+        return value, (-y * slope)[:, None]
+    if loss == "epsilon":
+        gap = z[:, 0] - y
+        value, slope = _cornered(np.abs(gap) - epsilon)
+        return value, (np.sign(gap) * slope)[:, None]
     if loss == "squared_hinge":
         gap = np.maximum(0, 1 - y * z[:, 0])
         return gap**2, (-2 * y * gap)[:, None]
@@ -109,10 +122,9 @@ def fit(
         raise ValueError(f"loss must be one of {LOSSES}")
     ship(spark)
     classes: list = []
-    if loss != "squared_epsilon":
-        classes = sorted(r[0] for r in rows.select("y").distinct().limit(10_001).collect())
-        if len(classes) > 10_000:
-            raise ValueError("too many classes")
+    if loss not in REGRESSION:
+        most = MOST_WEIGHTS // (features + 1)  # more have no place in the model
+        classes = sorted(r[0] for r in rows.select("y").distinct().limit(most + 1).collect())
     outputs = len(classes) if loss in ("multinomial", "crammer_singer") else 1
     if outputs * (features + 1) > MOST_WEIGHTS:
         raise ValueError("too many weights for the driver")
@@ -165,7 +177,7 @@ def _scored(batches, model):
         i, v = batch.column("idx").flatten().to_numpy(), batch.column("val").flatten().to_numpy()
         row = np.repeat(np.arange(n), np.diff(batch.column("idx").offsets.to_numpy()))
         z = np.stack([np.bincount(row, w[i] * v, n) + w[-1] for w in m.weights], 1)
-        if m.loss == "squared_epsilon":
+        if m.loss in REGRESSION:
             pred = z[:, 0]
         elif len(m.weights) == 1:
             pred = np.array(m.classes, float)[(z[:, 0] > 0).astype(int)]
@@ -184,19 +196,16 @@ def predict(spark: SparkSession, rows: DataFrame, model: Linear) -> DataFrame:
     return data.mapInArrow(partial(_scored, model=spark.sparkContext.broadcast(model)), "id long, pred double, decision array<double>, probability array<double>")
 
 
-def ml_rows(rows: DataFrame, features: int) -> DataFrame:
-    """id, y, features as a sparse vector for Spark's estimators."""
-    make = F.udf(lambda i, v: SparseVector(features, i, v), VectorUDT())
-    return rows.select("id", F.col("y").cast("double").alias("label"), make("idx", "val").alias("features"))
-
-
-def svc(rows: DataFrame, features: int, c: float = 1.0, rounds: int = 50):
-    """The L2-regularized hinge loss; more than two classes one against the rest."""
-    data = ml_rows(rows, features)
-    n = data.count()
-    base = LinearSVC(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=rounds)
-    many = rows.select("y").distinct().count() > 2
-    return (OneVsRest(classifier=base) if many else base).fit(data)
+def svc(spark: SparkSession, rows: DataFrame, features: int, c: float = 1.0, rounds: int = 50) -> Linear:
+    """The L2-regularized hinge loss; more than two classes one against the rest, a row of weights each."""
+    most = MOST_WEIGHTS // (features + 1)
+    classes = sorted(r[0] for r in rows.select("y").distinct().limit(most + 1).collect())
+    if len(classes) <= 2:
+        return fit(spark, rows, features, "hinge", c, rounds=rounds)
+    if len(classes) > most:
+        raise ValueError("too many weights for the driver")
+    each = [fit(spark, rows.withColumn("y", (F.col("y") == k).cast("int")), features, "hinge", c, rounds=rounds) for k in classes]
+    return Linear(np.concatenate([m.weights for m in each]), classes, "hinge")
 
 
 def regression_figures(predictions: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuloom.operators.ranking import global_rank
 from corpuloom.operators.users import hashed
+from corpuloom.session import Scratch
 
 
 def adjacency(lines: DataFrame, value: str = "value", sep: str = "\t") -> DataFrame:
@@ -62,21 +63,38 @@ def edge_folds(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def non_neighbours(edges: DataFrame, users: DataFrame, times: int = 2, seed: int = 0, tries: int = 8, user: str = "user_id") -> DataFrame:
-    """Per user ``times`` * degree users that are neither themselves nor neighbours.
+    """Per user ``times`` * degree users that are neither themselves nor neighbours, or all of those where there are fewer.
 
     Candidates are drawn by a hash among the users' ranks, ``tries`` times as many as are wanted, and
-    edges are taken out by an anti join, so all pairs of users are never made. A user whose candidates
-    run short (one who neighbours most others) gets those there are.
+    edges are taken out by an anti join, so all pairs of users are never made; users whose candidates
+    run short draw on. A user who wants more than half of the strangers there are goes through all
+    users instead, in order of a hash: those are at most 2 * times + 1 for each of its edges.
     """
     ranked = global_rank(users.select(F.col(user).alias("_u")).distinct(), ["_u"], "_r")
-    total = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    want = degrees(edges).withColumn("want", F.col("degree") * times)
-    draws = want.select("src", "want", F.explode(F.sequence(F.lit(1), (F.col("want") * tries).cast("int"))).alias("try"))
-    drawn = draws.crossJoin(F.broadcast(total)).withColumn("_r", hashed("src", "try", seed=seed) % F.col("_n"))
-    found = drawn.join(ranked, "_r").select("src", F.col("_u").alias("dst"), "want", "try").where(F.col("src") != F.col("dst"))
-    first = found.groupBy("src", "dst").agg(F.min("try").alias("try"), F.first("want").alias("want")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    at = F.row_number().over(Window.partitionBy("src").orderBy("try"))
-    return first.withColumn("_at", at).where(F.col("_at") <= F.col("want")).select("src", "dst")
+    scratch = Scratch(edges.sparkSession, "strangers")
+    n = ranked.count()
+    want = degrees(edges).withColumn("_all", n - 1 - F.col("degree")).withColumn("want", F.least(F.col("degree") * times, F.col("_all")))
+    want = scratch.table(want.where("want > 0").select("src", "want", (F.col("want") * 2 > F.col("_all")).alias("_dense")), "want")
+    known = edges.select("src", "dst").distinct()
+
+    def strangers(drawn: DataFrame) -> DataFrame:
+        """src, _r, want, _order -> the first ``want`` strangers of each src."""
+        found = drawn.join(ranked, "_r").where(F.col("src") != F.col("_u")).groupBy("src", F.col("_u").alias("dst")).agg(F.min("_order").alias("_order"), F.first("want").alias("want"))
+        at = F.row_number().over(Window.partitionBy("src").orderBy("_order", "dst"))
+        return found.join(known, ["src", "dst"], "left_anti").withColumn("_at", at).where(F.col("_at") <= F.col("want")).select("src", "dst", "want")
+
+    every = want.where("_dense").select("src", "want", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))).alias("_r"))
+    out = strangers(every.withColumn("_order", hashed("src", "_r", seed=seed))).select("src", "dst")
+    left, reach = want.where(~F.col("_dense")).select("src", "want"), tries
+    while n:  # every pass draws again from the first try, twice as far
+        draws = left.select("src", "want", F.explode(F.sequence(F.lit(1).cast("long"), F.col("want") * reach)).alias("try"))
+        got = scratch.table(strangers(draws.withColumn("_r", hashed("src", "try", seed=seed) % n).withColumnRenamed("try", "_order")), f"drawn-{reach}")
+        full = got.groupBy("src").agg(F.count(F.lit(1)).alias("_have"), F.first("want").alias("_want")).where(F.col("_have") == F.col("_want")).select("src")
+        out = out.unionByName(got.join(full, "src", "left_semi").select("src", "dst"))
+        left, reach = scratch.table(left.join(full, "src", "left_anti"), f"left-{reach}"), reach * 2
+        if not left.limit(1).count():
+            break
+    return out
 
 
 def answers(posts: DataFrame) -> DataFrame:

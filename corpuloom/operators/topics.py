@@ -3,14 +3,14 @@
 A corpus is one row per document: doc_id, idx (array of term indices), tf (array of counts). What
 the corpus-wide step needs (topics x vocabulary) is broadcast: its size is topics * vocabulary, is
 checked, and doesn't grow with the documents. Each round is one pass over the documents in Arrow
-batches; partitions give their summed statistics, so what comes back is bounded by partitions *
+batches, whose terms lie in one line, so that a step is a few operations on whole batches; partitions give their summed statistics, so what comes back is bounded by partitions *
 topics * vocabulary and summed by an aggregation. Document state is written each round to the
 shared folder, which cuts lineage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -23,6 +23,7 @@ from corpuloom.functions.special import digamma, lgamma, logsumexp, trigamma
 from corpuloom.session import Scratch, ship
 
 MOST_CELLS = 50_000_000  # topics * vocabulary that may be broadcast
+DOCS = 1024  # documents at a time
 
 
 def corpus(counts: DataFrame) -> DataFrame:
@@ -91,27 +92,83 @@ def plsa_estep(idx: np.ndarray, tf: np.ndarray, theta: np.ndarray, model: Model,
     return new, stat, ll
 
 
-def lda_estep(idx: np.ndarray, tf: np.ndarray, gamma: np.ndarray | None, model: Model, rounds: int = 20, tolerance: float = 1e-6):
-    """Mean field; gamma is the state. The bound is the log-likelihood."""
-    logb = np.log(model.beta[:, idx])
+@dataclass
+class Tokens:
+    """Terms of some documents in a line: their indices, counts and documents."""
+
+    idx: np.ndarray
+    tf: np.ndarray
+    doc: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> "Tokens":
+        sizes = np.diff(batch.column("idx").offsets.to_numpy())
+        flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        return cls(flat("idx").astype(np.int64), flat("tf").astype(float), np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+
+    def per_doc(self, x: np.ndarray) -> np.ndarray:
+        """Sums of a number, or of a row of them, per term over each document."""
+        return np.stack([np.bincount(self.doc, c, self.n) for c in x.T], 1) if x.ndim > 1 else np.bincount(self.doc, x, self.n)
+
+    def add_to(self, stats: np.ndarray, x: np.ndarray) -> None:
+        """Adds the terms' rows to the columns of topics x vocabulary."""
+        for topic, row in enumerate(stats):
+            row += np.bincount(self.idx, x[:, topic], len(row))
+
+    def of_docs(self, keep: np.ndarray) -> "Tokens":
+        """Those of the documents that are kept, which are numbered anew."""
+        held = keep[self.doc]
+        return Tokens(self.idx[held], self.tf[held], (np.cumsum(keep) - 1)[self.doc[held]], int(keep.sum()))
+
+
+def plsa_batch(tokens: Tokens, theta: np.ndarray, model: Model, terms: np.ndarray, prior: np.ndarray | None = None):
+    """plsa_estep() for documents at once. terms: beta with a row per term. Statistics have a row per token."""
+    part = terms[tokens.idx] * theta[tokens.doc]
+    mix = part.sum(1)
+    noise = model.lam * model.background[tokens.idx]
+    whole = noise + (1 - model.lam) * mix
+    stat = part * (tokens.tf * (1 - noise / whole) / mix)[:, None]
+    new = tokens.per_doc(stat) + model.smoothing[0] - 1 + (prior if prior is not None else 0)
+    total = new.sum(1, keepdims=True)
+    new = np.where(total > 0, new / np.where(total > 0, total, 1), theta)
+    ll = tokens.per_doc(tokens.tf * np.log(whole)) + (model.smoothing[0] - 1) * np.log(theta).sum(1)
+    return new, stat, ll
+
+
+def lda_batch(tokens: Tokens, gamma: np.ndarray | None, model: Model, terms: np.ndarray, rounds: int = 20, tolerance: float = 1e-6):
+    """Mean field for documents at once; gamma is the state, documents that have settled are left out. The bound is the log-likelihood."""
     k = len(model.alpha)
-    gamma = model.alpha + tf.sum() / k if gamma is None else gamma
+    if gamma is None:
+        gamma = model.alpha + tokens.per_doc(tokens.tf)[:, None] / k
+    gamma, live, now = gamma.copy(), np.arange(tokens.n), tokens
+
+    def shares(g: np.ndarray, t: Tokens):
+        e = digamma(g)
+        top = e.max(1, keepdims=True)
+        part = terms[t.idx] * np.exp(e - top)[t.doc]
+        return part, part.sum(1), e, top[:, 0]
+
     for _ in range(rounds):
-        logphi = logb + digamma(gamma)[:, None]
-        logphi = logphi - logsumexp(logphi, axis=0)[None, :]
-        phi = np.exp(logphi)
-        new = model.alpha + phi @ tf
-        moved = np.abs(new - gamma).mean()
-        gamma = new
-        if moved < tolerance:
+        part, norm, *_ = shares(gamma[live], now)
+        new = model.alpha + now.per_doc(part * (now.tf / norm)[:, None])
+        stay = np.abs(new - gamma[live]).mean(1) >= tolerance
+        gamma[live] = new
+        if not stay.any():
             break
-    elog = digamma(gamma) - digamma(gamma.sum())
-    bound = float(
-        lgamma(model.alpha.sum()) - lgamma(model.alpha).sum() + ((model.alpha - 1) * elog).sum()
-        + (tf * (phi * (elog[:, None] + logb - logphi)).sum(0)).sum()
-        - lgamma(gamma.sum()) + lgamma(gamma).sum() - ((gamma - 1) * elog).sum()
+        if not stay.all():
+            live, now = live[stay], now.of_docs(stay)
+    part, norm, e, top = shares(gamma, tokens)
+    phi = part / norm[:, None]
+    total = gamma.sum(1)
+    elog = e - digamma(total)[:, None]
+    # with phi at its best, a term's share of the bound is the logarithm of its normalizer
+    words = tokens.per_doc(tokens.tf * (np.log(norm) + top[tokens.doc])) - tokens.per_doc(tokens.tf) * digamma(total)
+    bound = (
+        lgamma(model.alpha.sum()) - lgamma(model.alpha).sum() + ((model.alpha - 1) * elog).sum(1) + words
+        - lgamma(total) + lgamma(gamma).sum(1) - ((gamma - 1) * elog).sum(1)
     )
-    return gamma, phi * tf, bound
+    return gamma, phi * tokens.tf[:, None], bound, elog
 
 
 def newton_alpha(alpha: np.ndarray, elog: np.ndarray, docs: int, damping: float = 0.001, rounds: int = 20) -> np.ndarray:
@@ -141,37 +198,48 @@ def plsa_step(counts: DataFrame, theta: DataFrame, beta: DataFrame, background:
     return stat.withColumn("p", F.col("e") / F.sum("e").over(Window.partitionBy("k"))).drop("e")
 
 
+def _matrix(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    """The lists of the named rows, all of one length."""
+    return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _states(batch: pa.RecordBatch, name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a list in the column, and the lists."""
+    have = batch.column(name).is_valid().to_numpy(zero_copy_only=False)
+    return have, _matrix(batch.column(name), np.flatnonzero(have), width)
+
+
 def _round(batches: Iterator[pa.RecordBatch], kind: str, shared, seed: int, has_state: bool) -> Iterator[pa.RecordBatch]:
     """A pass over documents: rows with doc_id are documents' states, rows without are a partition's statistics of one topic."""
     model: Model = shared.value
     k, v = model.beta.shape
+    terms = np.ascontiguousarray(model.beta.T)
     stats, elog = np.zeros((k, v)), np.zeros(k)
-    for batch in batches:
-        ids, states, lls = [], [], []
-        old = batch.column("state") if has_state else [None] * batch.num_rows
-        prior = batch.column("prior") if "prior" in batch.schema.names else [None] * batch.num_rows
-        for doc, i, t, s, p in zip(batch.column("doc_id").to_pylist(), batch.column("idx"), batch.column("tf"), old, prior):
-            idx, tf = np.asarray(i.values), np.asarray(t.values, float)
-            state = np.asarray(s.values, float) if s is not None and s.is_valid else None
+    for whole in batches:
+        for at in range(0, whole.num_rows, DOCS):
+            batch = whole.slice(at, DOCS)
+            tokens, ids = Tokens.of(batch), batch.column("doc_id").to_pylist()
             if kind == "lda":
-                state, stat, ll = lda_estep(idx, tf, state, model)
-                elog += digamma(state) - digamma(state.sum())
+                state = _states(batch, "state", k)[1] if has_state else None
+                state, stat, ll, e = lda_batch(tokens, state, model, terms)
+                elog += e.sum(0)
             else:
-                state = first_theta(doc, k, seed) if state is None else state
-                state, stat, ll = plsa_estep(idx, tf, state, model, np.asarray(p.values, float) if p is not None and p.is_valid else None)
-            stats[:, idx] += stat
-            ids.append(doc)
-            states.append(state)
-            lls.append(ll)
-        yield _rows(ids, states, lls)
+                state = _states(batch, "state", k)[1] if has_state else np.array([first_theta(d, k, seed) for d in ids])
+                prior = np.zeros((len(ids), k))
+                if "prior" in batch.schema.names:
+                    have, given = _states(batch, "prior", k)
+                    prior[have] = given
+                state, stat, ll = plsa_batch(tokens, state, model, terms, prior)
+            tokens.add_to(stats, stat)
+            yield _rows(ids, state, ll)
     for topic in range(k):
-        yield _rows([None], [stats[topic]], [elog[topic]], topic)
+        yield _rows([None], stats[topic : topic + 1], elog[topic : topic + 1], topic)
 
 
-def _rows(ids, states, lls, topic: int | None = None) -> pa.RecordBatch:
+def _rows(ids: list, states: np.ndarray, lls: np.ndarray, topic: int | None = None) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(np.arange(0, states.size + 1, max(1, states.shape[1])).astype(np.int32), np.ascontiguousarray(states).ravel())
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([topic] * len(ids), pa.int32()), pa.array([list(s) for s in states], pa.list_(pa.float64())), pa.array(lls, pa.float64())],
-        ["doc_id", "topic", "state", "ll"],
+        [pa.array(ids, pa.int64()), pa.array([topic] * len(ids), pa.int32()), lists, pa.array(lls, pa.float64())], ["doc_id", "topic", "state", "ll"]
     )
 
 
@@ -266,22 +334,22 @@ def _collect_topics(out: DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray,
 
 def _inferred(batches, kind: str, shared, rounds: int, seed: int):
     model: Model = shared.value
-    for batch in batches:
-        rows = []
-        for doc, i, t in zip(batch.column("doc_id").to_pylist(), batch.column("idx"), batch.column("tf")):
-            idx, tf = np.asarray(i.values), np.asarray(t.values, float)
+    k, terms = len(model.beta), np.ascontiguousarray(model.beta.T)
+    for whole in batches:
+        for at in range(0, whole.num_rows, DOCS):
+            batch = whole.slice(at, DOCS)
+            tokens, ids = Tokens.of(batch), batch.column("doc_id").to_pylist()
             if kind == "lda":
-                gamma, _, _ = lda_estep(idx, tf, None, model, rounds)
-                theta = gamma / gamma.sum()
+                gamma = lda_batch(tokens, None, model, terms, rounds)[0]
+                theta = gamma / gamma.sum(1, keepdims=True)
             else:
-                theta = first_theta(doc, len(model.beta), seed)
+                theta = np.array([first_theta(d, k, seed) for d in ids])
                 for _ in range(rounds):
-                    theta, _, _ = plsa_estep(idx, tf, theta, model)
-            p = (1 - model.lam) * (theta @ model.beta[:, idx]) + model.lam * model.background[idx]
-            rows.append((doc, theta.tolist(), float(tf @ np.log(p)), float(tf.sum())))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64()))], ["doc_id", "theta", "ll", "words"]
-        )
+                    theta = plsa_batch(tokens, theta, model, terms)[0]
+            p = (1 - model.lam) * (terms[tokens.idx] * theta[tokens.doc]).sum(1) + model.lam * model.background[tokens.idx]
+            ll, words = tokens.per_doc(tokens.tf * np.log(p)), tokens.per_doc(tokens.tf)
+            lists = pa.ListArray.from_arrays(np.arange(0, theta.size + 1, k).astype(np.int32), theta.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array(ll), pa.array(words)], ["doc_id", "theta", "ll", "words"])
 
 
 def infer(spark: SparkSession, docs: DataFrame, model: Model, kind: str = "plsa", rounds: int = 30, seed: int = 1) -> DataFrame:
@@ -394,5 +462,3 @@ def by_owner(theta: DataFrame, owners: DataFrame, key: str) -> DataFrame:
 
     return sums.withColumn("share", F.col("x") / F.sum("x").over(Window.partitionBy(key))).drop("x")
 
-
-Estep = Callable[..., tuple[np.ndarray, np.ndarray, float]]

@@ -337,16 +337,33 @@ def topic_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.l1(theta.groupBy("source", "k").agg(F.sum("theta").alias("share")), "source", "share").select("source", "k", r6("share", "share"))
 
 
-def corpus(spark: SparkSession, sf_dir: str, min_df: int = 10):
-    """Documents as arrays over an indexed vocabulary, the vocabulary, its size and background."""
+#: Terms that the models know: all, or of more the ones in most documents (their tables are topics x terms).
+MOST_TERMS = 200_000
+
+
+def _known(counts: DataFrame) -> DataFrame:
+    """An indexed vocabulary of all terms, of MOST_TERMS at most."""
+    vocab = C.vocabulary(counts, 0)
+    if vocab.count() > MOST_TERMS:
+        vocab = vocab.orderBy(F.desc("df"), "term").limit(MOST_TERMS)
+    return C.indexed(vocab)
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.table(spark, sf_dir, "documents").select("doc_id").distinct()
+
+
+def corpus(spark: SparkSession, sf_dir: str):
+    """Documents as arrays over an indexed vocabulary, the vocabulary, its size and background. Documents without a term have empty arrays."""
     from corpuloom.operators import topics as M
     from corpuloom.session import Scratch
 
     scratch = Scratch(spark, "corpus")
     counts = scratch.table(P.counts(spark, sf_dir), "counts")
-    vocab = scratch.table(C.indexed(C.vocabulary(counts, min_df)), "vocabulary")
-    docs = scratch.table(M.corpus(C.closed(counts, vocab).select("doc_id", "idx", "tf")), "docs")
-    return docs, vocab, vocab.count()
+    vocab = scratch.table(_known(counts), "vocabulary")
+    docs = _ids(spark, sf_dir).join(M.corpus(C.closed(counts, vocab).select("doc_id", "idx", "tf")), "doc_id", "left")
+    docs = docs.select("doc_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("tf", F.array().cast("array<double>")).alias("tf"))
+    return scratch.table(docs, "docs"), vocab, vocab.count()
 
 
 def _background(vocab: DataFrame):
@@ -360,7 +377,7 @@ def plsa(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import topics as M
 
     docs, vocab, size = corpus(spark, sf_dir)
-    model, theta = M.fit(spark, docs, M.start(5, size, background=_background(vocab), lam=0.3), "plsa", rounds=5)
+    model, theta = M.fit(spark, docs, M.start(5, size, background=_background(vocab), lam=0.3), "plsa")
     return theta.select("doc_id", F.posexplode("theta").alias("topic", "share")).select("doc_id", "topic", r6("share", "share"))
 
 
@@ -370,7 +387,7 @@ def lda_vb(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import topics as M
 
     docs, _, size = corpus(spark, sf_dir)
-    model, _ = M.fit(spark, docs.where(F.col("doc_id") % 5 != 0), M.start(5, size, alpha=1.1), "lda", rounds=4, learn_alpha=True)
+    model, _ = M.fit(spark, docs.where(F.col("doc_id") % 5 != 0), M.start(5, size, alpha=1.1), "lda", learn_alpha=True)
     return M.perplexity(M.infer(spark, docs.where(F.col("doc_id") % 5 == 0), model, "lda"))
 
 
@@ -379,12 +396,12 @@ def lda_gibbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import topics as M
 
     docs, vocab, size = corpus(spark, sf_dir)
-    _, theta = M.gibbs(spark, docs, 5, size, sweeps=4)
+    _, theta = M.gibbs(spark, docs, 5, size, sweeps=12)
     return theta.select("doc_id", F.posexplode("theta").alias("topic", "share")).select("doc_id", "topic", r6("share", "share"))
 
 
-def sentences(spark: SparkSession, sf_dir: str, min_df: int = 10):
-    """Documents as sentences over an indexed vocabulary; sentences end at punctuation."""
+def sentences(spark: SparkSession, sf_dir: str):
+    """Documents as sentences over an indexed vocabulary; sentences end at punctuation. Documents without a term have none."""
     from pyspark.sql import Window
 
     from corpuloom.functions.text import is_legit
@@ -394,10 +411,10 @@ def sentences(spark: SparkSession, sf_dir: str, min_df: int = 10):
     placed = P.tokens(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
     cut = placed.withColumn("stn", F.coalesce(F.count(F.when(F.col("term") == "", 1)).over(w), F.lit(0)))
     counts = Scratch(spark, "sentences").table(cut.where(is_legit(F.col("term"), P.STOPWORDS)).groupBy("doc_id", "stn", "term").agg(F.count(F.lit(1)).alias("tf")), "counts")
-    vocab = C.indexed(C.vocabulary(counts.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), min_df))
+    vocab = Scratch(spark, "sentences").table(_known(counts.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))), "vocabulary")
     pair = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("tf").cast("double").alias("tf"))))
     stns = C.closed(counts, vocab).groupBy("doc_id", "stn").agg(pair.alias("p"))
-    docs = stns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("stn", "p"))).alias("s"))
+    docs = _ids(spark, sf_dir).join(stns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("stn", "p"))).alias("s")), "doc_id", "left")
     return docs.select("doc_id", F.transform("s", lambda x: F.struct(x["p"]["idx"].alias("idx"), x["p"]["tf"].alias("tf"))).alias("stns")), vocab.count()
 
 
@@ -407,7 +424,7 @@ def htmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import sequence_topics as H
 
     docs, size = sentences(spark, sf_dir)
-    model, theta = H.fit(spark, docs, H.start(4, size), rounds=3)
+    model, theta = H.fit(spark, docs, H.start(4, size))
     out = H.paths(spark, docs, theta, model)
     return out.select("doc_id", F.posexplode(F.arrays_zip("topics", "drawn")).alias("stn", "s")).select("doc_id", "stn", F.col("s.topics").alias("topic"), F.col("s.drawn").alias("drawn"))
 
@@ -418,7 +435,7 @@ def htsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import sequence_topics as H
 
     docs, size = sentences(spark, sf_dir)
-    model, theta = H.fit(spark, docs, H.start(4, size, sentiment=True, logistic=True), rounds=2)
+    model, theta = H.fit(spark, docs, H.start(4, size, sentiment=True, logistic=True), rounds=3)
     return theta.select("doc_id", F.posexplode("theta").alias("topic", "share")).select("doc_id", "topic", r6("share", "share"))
 
 
@@ -472,7 +489,7 @@ def logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import linear as L
 
     rows, size = _rows(spark, sf_dir)
-    model = L.fit(spark, rows.where(F.col("id") % 4 != 3), size, "multinomial", c=0.1, rounds=8)
+    model = L.fit(spark, rows.where(F.col("id") % 4 != 3), size, "multinomial", c=0.1)
     return L.predict(spark, rows.where(F.col("id") % 4 == 3), model).select("id", "pred")
 
 
@@ -481,8 +498,8 @@ def linear_svc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import linear as L
 
     rows, size = _rows(spark, sf_dir)
-    model = L.svc(rows.where(F.col("id") % 4 != 3), size, c=0.01, rounds=8)
-    return model.transform(L.ml_rows(rows.where(F.col("id") % 4 == 3), size)).select("id", F.col("prediction").alias("pred"))
+    model = L.svc(spark, rows.where(F.col("id") % 4 != 3), size, c=0.01)
+    return L.predict(spark, rows.where(F.col("id") % 4 == 3), model).select("id", "pred")
 
 
 @query()
@@ -505,7 +522,7 @@ def kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = P.table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
     rows = events.select(
-        F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), (F.col("user_id") % 8).cast("string")).alias("group"), F.col("event_id").alias("id"),
+        F.date_format("ts", "yyyyMM").alias("group"), F.col("event_id").alias("id"),
         F.when(F.col("event_id") % 3 != 0, (F.col("event_type") == "click").cast("double")).alias("y"),
         F.array(F.ln(1 + F.abs("value")), F.hour("ts") / 24.0).alias("x"),
     )
@@ -517,4 +534,4 @@ def kmeans_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators.clusters import cosine_kmeans
 
     rows = P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return cosine_kmeans(rows, 8, rounds=10)[1]
+    return cosine_kmeans(rows, 8)[1]

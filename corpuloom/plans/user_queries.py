@@ -188,12 +188,14 @@ def remove_test_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {P.FOLLOWS}, u AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS r, count(*) OVER () AS n FROM customer),
-d AS (SELECT src, count(*) * 2 AS want FROM edges GROUP BY src),
-t AS (SELECT src, want, unnest(range(1, want * 8 + 1)) AS try FROM d),
-h AS (SELECT src, want, try, {P.sql_hash('src', 'try')} % (SELECT count(*) FROM customer) AS r FROM t),
-f AS (SELECT src, id AS dst, min(try) AS try, any_value(want) AS want FROM h JOIN u USING (r) WHERE src <> id GROUP BY src, id),
-k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY try) AS place FROM f WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = f.src AND e.dst = f.dst))
-SELECT src, dst FROM k WHERE place <= want""")
+d AS (SELECT src, least(2 * count(*), any_value(n) - 1 - count(*)) AS want, 2 * least(2 * count(*), any_value(n) - 1 - count(*)) > any_value(n) - 1 - count(*) AS dense
+      FROM edges CROSS JOIN (SELECT count(*) AS n FROM customer) GROUP BY src),
+t AS (SELECT src, want, unnest(range(1, want * 64 + 1)) AS try FROM d WHERE NOT dense),
+h AS (SELECT src, want, try AS place, {P.sql_hash('src', 'try')} % (SELECT count(*) FROM customer) AS r FROM t
+      UNION ALL SELECT src, want, {P.sql_hash('src', 'r')}, r FROM d CROSS JOIN u WHERE dense),
+f AS (SELECT src, id AS dst, min(place) AS place, any_value(want) AS want FROM h JOIN u USING (r) WHERE src <> id GROUP BY src, id),
+k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY place, dst) AS rank FROM f WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = f.src AND e.dst = f.dst))
+SELECT src, dst FROM k WHERE rank <= want""")
 def non_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of twice as many strangers as a user has friends (sampling is the feature)."""
     return N.non_neighbours(_edges(spark, sf_dir), P.users(spark, sf_dir), 2)

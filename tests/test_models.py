@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuloom.operators import bayes as B
-from corpuloom.operators import clusters, embedding, kernel, linear, optimize, similarity, topics
+from corpuloom.functions import special
+from corpuloom.operators import clusters, embedding, kernel, linear, network, optimize, similarity, topics
 from corpuloom.operators import sequence_topics as H
 
 
@@ -98,6 +99,113 @@ def test_forward_backward_and_viterbi():
     assert topic.sum(1) == pytest.approx(np.ones(4)) and 0 <= changed.max() <= 1
 
 
+@pytest.mark.parametrize("sentiment", [False, True])
+def test_sequences_in_batches(sentiment):
+    """All documents at once give what one after the other gives."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sizes, k = [3, 0, 1, 7, 2, 7], 4
+    value = [[{"idx": sorted(rng.choice(12, 3, replace=False).tolist()), "tf": rng.integers(1, 4, 3).astype(float).tolist()} for _ in range(n)] for n in sizes]
+    value[3].insert(2, {"idx": [], "tf": []})  # left out
+    column = pa.array([[], *value], pa.list_(pa.struct([("idx", pa.list_(pa.int32())), ("tf", pa.list_(pa.float64()))])))[1:]
+    s = H.Sentences.of(column)
+    assert s.sizes.tolist() == sizes
+    log_beta = np.log(rng.dirichlet(np.ones(12), k))
+    emission = s.emissions(np.ascontiguousarray(log_beta.T))
+    theta, eps, sig = rng.dirichlet(np.ones(k), len(sizes)), rng.uniform(0.1, 0.9, s.n), rng.uniform(0.1, 0.9, s.n)
+    ll, topic, new, moved = H.forward_backward_all(s, emission, theta, eps, sig, sentiment)
+    path = H.viterbi_all(s, emission, np.log(theta), eps, sig, sentiment)
+    for d, stns in enumerate(value):
+        stns = [(np.array(x["idx"]), np.array(x["tf"])) for x in stns if x["idx"]]
+        if not stns:
+            assert ll[d] == 0
+            continue
+        rows = slice(s.first[d], s.first[d] + s.sizes[d])
+        one = H.emissions(stns, log_beta)
+        assert emission[rows] == pytest.approx(one)
+        want = H.forward_backward(one, np.log(theta[d]), eps[rows][1:], sig[rows][1:], sentiment)
+        assert ll[d] == pytest.approx(want[0]) and topic[rows] == pytest.approx(want[1]) and new[rows] == pytest.approx(want[2]) and moved[rows] == pytest.approx(want[3])
+        assert path[rows].tolist() == H.viterbi(one, np.log(theta[d]), eps[rows][1:], sig[rows][1:], sentiment).tolist()
+        x = s.features()[rows]
+        for t in range(1, len(stns)):
+            (i, a), (j, b) = stns[t - 1], stns[t]
+            _, p, q = np.intersect1d(i, j, return_indices=True)
+            assert x[t] == pytest.approx([(a[p] * b[q]).sum() / np.sqrt((a**2).sum() * (b**2).sum()), np.log((b.sum() + 1) / (a.sum() + 1)), t / len(stns)])
+
+
+def test_losses_with_corners(spark):
+    """Hinge and absolute losses against a grid of weights; three classes one against the rest; a large group's kernel machine."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(60)
+    rows = spark.createDataFrame([(i, float(y), [0], [float(v)]) for i, (v, y) in enumerate(zip(x, x + rng.standard_normal(60) * 0.5))], "id long, y double, idx array<int>, val array<double>")
+    y = np.array([r["y"] for r in rows.orderBy("id").collect()])
+    for loss, target, value in (
+        ("hinge", (y > 0).astype(float), lambda w, b: np.maximum(0, 1 - np.sign(y) * (w * x + b)).sum()),
+        ("epsilon", y, lambda w, b: np.maximum(0, np.abs(w * x + b - y) - 0.1).sum()),
+    ):
+        data = spark.createDataFrame([(i, float(t), [0], [float(v)]) for i, (v, t) in enumerate(zip(x, target))], "id long, y double, idx array<int>, val array<double>")
+        whole = lambda w, b: (w * w + b * b) / 2 + value(w, b)  # noqa: B023, E731
+        w, b = linear.fit(spark, data, 1, loss, rounds=200).weights[0]
+        best = min(whole(p, q) for p in np.linspace(-3, 3, 121) for q in np.linspace(-2, 2, 81))
+        assert whole(w, b) <= best + 60 * linear.CORNER / 2
+    three = rows.withColumn("y", F.when(F.col("val")[0] < -0.5, 0).when(F.col("val")[0] < 0.5, 1).otherwise(2)).withColumn("idx", F.array(F.lit(0), F.lit(1))).withColumn("val", F.array(F.col("val")[0], F.col("val")[0] * F.col("val")[0]))
+    model = linear.svc(spark, three, 2, c=10.0)
+    assert model.weights.shape == (3, 3) and linear.predict(spark, three, model).join(three.select("id", "y"), "id").where("pred = y").count() >= 52
+    groups = rows.select((F.col("id") % 2).cast("string").alias("group"), "id", F.when(F.col("id") % 5 != 0, (F.abs(F.col("val")[0]) < 0.7).cast("double")).alias("y"), "val")
+    groups = groups.withColumnRenamed("val", "x")
+    small, large = (kernel.by_group(spark, groups, most=m, gamma=1.0, c=10.0).collect() for m in (5000, 10))
+    assert len(small) == len(large) == 60
+    truth = {i: abs(v) < 0.7 for i, v in enumerate(x)}
+    for got in (small, large):
+        assert sum((r["pred"] > 0.5) == truth[r["id"]] for r in got) >= 52
+
+
+def lda_plain(idx, tf, model, rounds):
+    """Mean field of one document, in log space: its topics, statistics and the bound."""
+    gammaln, digamma = special.lgamma, special.digamma
+    logb, gamma = np.log(model.beta[:, idx]), model.alpha + tf.sum() / len(model.alpha)
+    for _ in range(rounds):
+        logphi = logb + digamma(gamma)[:, None]
+        logphi = logphi - special.logsumexp(logphi, axis=0)[None, :]
+        gamma = model.alpha + np.exp(logphi) @ tf
+    phi, elog = np.exp(logphi), digamma(gamma) - digamma(gamma.sum())
+    bound = gammaln(model.alpha.sum()) - gammaln(model.alpha).sum() + ((model.alpha - 1) * elog).sum()
+    bound = bound + (tf * (phi * (elog[:, None] + logb - logphi)).sum(0)).sum() - gammaln(gamma.sum()) + gammaln(gamma).sum() - ((gamma - 1) * elog).sum()
+    return gamma, phi * tf, float(bound)
+
+
+def test_topics_in_batches():
+    rng = np.random.default_rng(6)
+    model = topics.Model(rng.dirichlet(np.ones(9), 3), rng.dirichlet(np.ones(9)), np.array([0.5, 1.0, 0.2]), 0.3, smoothing=(1.1, 1.0))
+    docs = [(np.sort(rng.choice(9, n, replace=False)), rng.integers(1, 6, n).astype(float)) for n in (4, 9, 1)] + [(np.empty(0, int), np.empty(0))]
+    tokens = topics.Tokens(np.concatenate([i for i, _ in docs]).astype(int), np.concatenate([t for _, t in docs]), np.repeat(np.arange(4), [len(i) for i, _ in docs]), 4)
+    terms, theta = np.ascontiguousarray(model.beta.T), rng.dirichlet(np.ones(3), 4)
+    new, stat, ll = topics.plsa_batch(tokens, theta, model, terms)
+    gamma, phi, bound, _ = topics.lda_batch(tokens, None, model, terms, rounds=200, tolerance=1e-12)
+    for d, (idx, tf) in enumerate(docs[:3]):
+        want = topics.plsa_estep(idx, tf, theta[d], model)
+        assert new[d] == pytest.approx(want[0]) and stat[tokens.doc == d] == pytest.approx(want[1].T) and ll[d] == pytest.approx(want[2])
+        want = lda_plain(idx, tf, model, 200)
+        assert gamma[d] == pytest.approx(want[0], rel=1e-6) and phi[tokens.doc == d] == pytest.approx(want[1].T, rel=1e-5) and bound[d] == pytest.approx(want[2], rel=1e-6)
+    assert gamma[3] == pytest.approx(model.alpha) and new[3] == pytest.approx(np.full(3, 1 / 3))
+
+
+def test_strangers(spark):
+    """Everyone gets as many strangers as wanted, or all there are: few users, one with nearly all as friends."""
+    users = spark.range(12).select(F.col("id").alias("user_id"))
+    pairs = [(0, i) for i in range(1, 10)] + [(i, 0) for i in range(1, 10)] + [(3, 4), (4, 3)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got = network.non_neighbours(edges, users, 2)
+    friends, found = {}, {}
+    for a, b in pairs:
+        friends.setdefault(a, set()).add(b)
+    for r in got.collect():
+        found.setdefault(r["src"], []).append(r["dst"])
+    for u, f in friends.items():
+        assert len(found[u]) == len(set(found[u])) == min(2 * len(f), 11 - len(f)) and not set(found[u]) & (f | {u})
+
+
 def test_hidden_topic_fit(spark):
     rng = np.random.default_rng(2)
     rows = []
@@ -169,8 +277,8 @@ def test_linear_variants(spark):
     weights = spark.createDataFrame([(1, [-1.0, 2.0, 0.0])], "user_id long, w array<double>")
     posts = spark.createDataFrame([(1, 7, [(0, 1.0)]), (1, 8, [(1, 1.0)])], "user_id long, id long, features array<struct<idx:int,val:double>>")
     assert {r["id"]: r["pred"] for r in linear.per_user(posts, weights).collect()} == {7: 1, 8: 0}
-    svc = linear.svc(rows, 3, rounds=10)
-    assert svc.transform(linear.ml_rows(rows, 3)).where("prediction = label").count() >= 114
+    svc = linear.svc(spark, rows, 3)
+    assert linear.predict(spark, rows, svc).join(rows.select("id", "y"), "id").where("pred = y").count() >= 114
 
 
 def ring():
