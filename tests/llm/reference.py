@@ -123,6 +123,67 @@ def simhash(rows, radius=4):
     return [(d, f"{f:016x}", least.get(r)) for (d, _), f, r in zip(rows, fps, roots)]
 
 
+def mixed(x):
+    """splitmix64's finaliser."""
+    m = 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def wide_fingerprint(text, shingle=5, bits=512):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))]
+    counts = np.zeros(bits, int)
+    for x in s:
+        h = xxhash.xxh64_intdigest(x.encode(), 42)
+        word = [h] + [mixed((h + i * 0x9E3779B97F4A7C15) % 2**64) for i in range(1, bits // 64)]
+        counts += np.unpackbits(np.array(word, "<u8").view(np.uint8), bitorder="little")
+    return int.from_bytes(np.packbits(2 * counts > len(s), bitorder="little").tobytes(), "little")
+
+
+def wide_groups(texts, radius):
+    """Which texts' fingerprints are joined by links of at most radius bits."""
+    fps = [wide_fingerprint(t) for t in texts]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius]
+    return closure(len(fps), links)
+
+
+def jaccard(a, b, shingle=5):
+    x, y = ({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def mix(rows, share=1.5, limit=2, seed="mix"):
+    """rows (doc_id, source, words) -> (size, source_size, target, copies) each, by sums in order of size within a source."""
+    total = defaultdict(int)
+    for _, s, n in rows:
+        total[s] += n
+    order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, goal = {}, set(order), share * sum(total.values())
+    while free:
+        level = goal / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > limit * total[s]}
+        if not over:
+            target.update({s: level * weight[s] for s in free})
+            break
+        for s in over:
+            target[s], goal = float(limit * total[s]), goal - limit * total[s]
+        free -= over
+    place, out = defaultdict(int), [None] * len(rows)
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][2], rows[i][0] is None, rows[i][0] or 0)):
+        _, s, n = rows[i]
+        u = int(hashlib.md5(f"{seed}:{'n' if s is None else 's' + s}".encode()).hexdigest()[:8], 16) / 2**32
+        place[s] += 1
+        each = target[s] / total[s] if total[s] else 0.0
+        copies = int(np.floor(each * place[s] + u) - np.floor(each * (place[s] - 1) + u))
+        out[i] = (n, total[s], target[s], copies)
+    return out
+
+
 def vectors(rows, least=0.95):
     ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = []
