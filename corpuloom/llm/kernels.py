@@ -5,10 +5,9 @@ Words of the contracts are what bytes.split() gives: it splits on \\x20 and \\x0
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -51,24 +50,8 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndar
     return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(U64) * U64(_ODD[1]))
 
 
-class Digests(dict):
-    """16-byte BLAKE2b digests of words, kept for words that come again."""
-
-    most = 1 << 19
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        made = self[word] = hashlib.blake2b(word, digest_size=16).digest()
-        return made
-
-
-_digests = Digests()
-
-
-def word_digests(words: list[bytes]) -> np.ndarray:
-    """A row of two 64-bit hashes for each word; no two words are known that share them."""
-    return np.frombuffer(b"".join(map(_digests.__getitem__, words)), "<u8").reshape(-1, 2)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -13,8 +13,8 @@ anchor. The steps:
    Every document is streamed through the automata of the shards that hold a phrase of its;
    others have none to locate. The automaton compares text, so it locates every occurrence of a
    phrase and nothing else. A shard of very many documents is cut into parts that each compile it.
-4. Windows whose anchor was located give a fingerprint each: 128 bits of BLAKE2b over their words'
-   128-bit digests. An aggregation over the fingerprints confirms the windows that recur and finds
+4. Windows whose anchor was located give a fingerprint each: 128 bits of BLAKE2b over their words,
+   joined by one blank each. An aggregation over the fingerprints confirms the windows that recur and finds
    the least doc_id of each; documents get back the places of theirs that start in a smaller one,
    and drop the words that those cover.
 
@@ -59,10 +59,6 @@ def anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.nda
     return g, least, reach == g
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.ascontiguousarray(K.word_digests(words)[:, 0])
-
-
 def _signatures(batches, window: int, phrase: int):
     for batch in K.bounded(batches):
         n, sha, found = [], [], []
@@ -70,7 +66,7 @@ def _signatures(batches, window: int, phrase: int):
             words = (raw or b"").split()
             n.append(len(words))
             sha.append(hashlib.sha256(b" ".join(words)).digest())
-            g, _, is_anchor = anchors(hashes(words), window, phrase) if len(words) >= window else (np.empty(0, K.U64), None, np.zeros(0, bool))
+            g, _, is_anchor = anchors(K.word_hashes(words), window, phrase) if len(words) >= window else (np.empty(0, K.U64), None, np.zeros(0, bool))
             found.append(K.signed(np.unique(g[is_anchor])))
         offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
         flat = np.concatenate(found) if found else np.empty(0, np.int64)
@@ -86,7 +82,7 @@ def _phrases(batches, window: int, phrase: int):
         shards, texts = [], []
         for raw, held in zip(K.texts(batch.column("text")), batch.column("owned")):
             words = raw.split()
-            g, _, _ = anchors(hashes(words), window, phrase)
+            g, _, _ = anchors(K.word_hashes(words), window, phrase)
             values, first = np.unique(g, return_index=True)
             for item in held.as_py():
                 i = int(np.searchsorted(values, np.uint64(item["anchor"] % 2**64)))
@@ -116,14 +112,16 @@ def locate(machine, words: list[bytes], phrase: int) -> np.ndarray:
 
 def candidates(words: list[bytes], located: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, bytes]:
     """Places of the windows whose anchor begins at a located place, and their fingerprints in a row."""
-    digests = K.word_digests(words)
-    g, least, _ = anchors(np.ascontiguousarray(digests[:, 0]), window, phrase)
+    g, least, _ = anchors(K.word_hashes(words), window, phrase)
     hit = np.zeros(len(g), bool)
     hit[located] = True
     near = K.sliding(np.where(hit, g, K.TOP), window - phrase + 1)
     at = np.flatnonzero((near == least) & (near != K.TOP))
-    raw, size = memoryview(np.ascontiguousarray(digests)).cast("B"), 16 * window
-    return at, b"".join([hashlib.blake2b(raw[i : i + size], digest_size=16).digest() for i in (16 * at).tolist()])
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    raw = memoryview(b" ".join(words))
+    spans = zip((ends - sizes)[at].tolist(), ends[at + window - 1].tolist())
+    return at, b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in spans])
 
 
 def _candidates(batches, window: int, phrase: int):
