@@ -343,10 +343,13 @@ MOST_TERMS = 200_000
 
 def _known(counts: DataFrame) -> DataFrame:
     """An indexed vocabulary of all terms, of MOST_TERMS at most."""
-    vocab = C.vocabulary(counts, 0)
+    from corpuloom.session import Scratch
+
+    scratch = Scratch(counts.sparkSession, "known")
+    vocab = scratch.table(C.vocabulary(counts, 0), "terms")
     if vocab.count() > MOST_TERMS:
         vocab = vocab.orderBy(F.desc("df"), "term").limit(MOST_TERMS)
-    return C.indexed(vocab)
+    return scratch.table(C.indexed(vocab), "vocabulary")
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,8 +362,8 @@ def corpus(spark: SparkSession, sf_dir: str):
     from corpuloom.session import Scratch
 
     scratch = Scratch(spark, "corpus")
-    counts = scratch.table(P.counts(spark, sf_dir), "counts")
-    vocab = scratch.table(_known(counts), "vocabulary")
+    counts = P.counts(spark, sf_dir)  # written
+    vocab = _known(counts)
     docs = _ids(spark, sf_dir).join(M.corpus(C.closed(counts, vocab).select("doc_id", "idx", "tf")), "doc_id", "left")
     docs = docs.select("doc_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("tf", F.array().cast("array<double>")).alias("tf"))
     return scratch.table(docs, "docs"), vocab, vocab.count()
@@ -411,7 +414,7 @@ def sentences(spark: SparkSession, sf_dir: str):
     placed = P.tokens(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
     cut = placed.withColumn("stn", F.coalesce(F.count(F.when(F.col("term") == "", 1)).over(w), F.lit(0)))
     counts = Scratch(spark, "sentences").table(cut.where(is_legit(F.col("term"), P.STOPWORDS)).groupBy("doc_id", "stn", "term").agg(F.count(F.lit(1)).alias("tf")), "counts")
-    vocab = Scratch(spark, "sentences").table(_known(counts.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))), "vocabulary")
+    vocab = _known(counts.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")))
     pair = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("tf").cast("double").alias("tf"))))
     stns = C.closed(counts, vocab).groupBy("doc_id", "stn").agg(pair.alias("p"))
     docs = _ids(spark, sf_dir).join(stns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("stn", "p"))).alias("s")), "doc_id", "left")
