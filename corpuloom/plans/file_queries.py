@@ -413,6 +413,30 @@ def linear_model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(names[int(c)], i, float(x)) for c, w in zip(model.classes, model.weights) for i, x in enumerate(w)], "y string, idx int, w double")
 
 
+@query("""WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal / 1000 AS x, s_nationkey::DOUBLE AS n FROM supplier)
+SELECT 'topics' AS model, i, round(x, 6) AS a, round(n, 6) AS b FROM s UNION ALL SELECT 'kernel', i, round(x, 6), round(0.5 * n, 6) FROM s UNION ALL SELECT 'sequence', i, round(x, 6), round(n, 6) FROM s""")
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic, kernel and sequence models, written and read."""
+    import numpy as np
+
+    from corpuloom.operators import kernel, sequence_topics, topics
+
+    x = np.array([[r[0] / 1000, float(r[1])] for r in P.table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_acctbal", "s_nationkey").collect()])  # the models' sizes
+    told = {
+        "topics": topics.Model(x.T.copy(), np.ones(len(x)), np.array([1.0, 2.0]), history=[-2.0, -1.0]),
+        "kernel": kernel.Machine("c_svc", "rbf", {"gamma": 0.5}, x, 0.5 * x[:, 1], 0.25, [1.0, 0.0], parts=[(0, 1, kernel.Machine("nu_svr", "linear", {}, x[:1], np.ones(1), 0.0))]),
+        "sequence": sequence_topics.Model(x.T.copy(), 0.2, omega=np.zeros(3)),
+    }
+    out = []
+    for name, one in told.items():
+        path = _folder(spark)
+        sinks.model(spark, one, path)
+        got = sinks.load_model(spark, path)
+        a, b = {"topics": lambda m: m.beta, "kernel": lambda m: np.stack([m.vectors[:, 0], m.coefficients]), "sequence": lambda m: m.log_beta}[name](got)
+        out += [(name, i, round(float(p), 6), round(float(q), 6)) for i, (p, q) in enumerate(zip(a, b))]
+    return spark.createDataFrame(out, "model string, i long, a double, b double")
+
+
 @query(f"""WITH {P.FOLLOWS}, g AS (SELECT c_custkey FROM customer WHERE c_nationkey < 8) SELECT src, dst FROM edges WHERE dst NOT IN (SELECT c_custkey FROM g)""")
 def without_reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges into sampled users go."""

@@ -172,6 +172,62 @@ def load_linear(spark: SparkSession, path: str):
     return Linear(np.array([r["w"] for r in rows if r["w"] is not None]), [r["y"] for r in rows if r["y"] is not None], rows[0]["loss"])
 
 
+def model(spark: SparkSession, fitted, path: str) -> None:
+    """Any fitted model of this package (topics, sequences, kernel machines, embeddings, linear): its arrays as rows, the rest as JSON."""
+    import dataclasses
+    import json
+
+    import numpy as np
+
+    arrays: list = []
+
+    def told(x):
+        if isinstance(x, np.ndarray):
+            arrays.append(x)
+            return {"array": len(arrays) - 1}
+        if isinstance(x, np.generic):
+            return {"value": x.item()}
+        if dataclasses.is_dataclass(x):
+            return {"class": f"{type(x).__module__}:{type(x).__qualname__}", "fields": {f.name: told(getattr(x, f.name)) for f in dataclasses.fields(x)}}
+        if isinstance(x, dict):
+            return {"dict": [[told(k), told(v)] for k, v in x.items()]}
+        for kind in (list, tuple, frozenset):
+            if isinstance(x, kind):
+                return {kind.__name__: [told(v) for v in x]}
+        return {"value": x}
+
+    rows = [(-1, json.dumps(told(fitted)), None, None)]
+    rows += [(i, a.dtype.str, list(a.shape), a.astype(float).ravel().tolist()) for i, a in enumerate(arrays)]
+    spark.createDataFrame(rows, "i int, kind string, shape array<int>, x array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """What model() wrote; classes of other packages are refused."""
+    import importlib
+    import json
+
+    import numpy as np
+
+    rows = {r["i"]: r for r in spark.read.parquet(path).collect()}  # as large as the model, which a driver held before
+
+    def made(t):
+        (kind, x), *more = t.items()
+        if kind == "array":
+            return np.array(rows[x]["x"], float).astype(rows[x]["kind"]).reshape(rows[x]["shape"])
+        if kind == "class":
+            module, name = x.split(":")
+            if module.split(".")[0] != __name__.split(".")[0]:
+                raise ValueError(f"{x} is no model of this package")
+            return getattr(importlib.import_module(module), name)(**{k: made(v) for k, v in more[0][1].items()})
+        if kind == "dict":
+            return {made(k): made(v) for k, v in x}
+        if kind in ("list", "tuple", "frozenset"):
+            return {"list": list, "tuple": tuple, "frozenset": frozenset}[kind](made(v) for v in x)
+        return x
+
+    return made(json.loads(rows[-1]["kind"]))
+
+
 def cluster_line(clusters: DataFrame, path: str) -> None:
     """Cluster numbers in order of id as one comma-separated line per part."""
     text(clusters.orderBy("id"), F.col("cluster").cast("string"), path)
