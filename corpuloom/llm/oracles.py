@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators that SQL can express.
 
 Not here: op5 (XXH64), op6 (tokenizer, linear program), op7 (tokenizer), op8 (keys are XXH64), op10
-(a trained model), pipeline; tests hold those against plain versions.
+(a trained model), op12 (tokenizers), pipeline; tests hold those against plain versions.
 """
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -85,3 +85,40 @@ WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN
 c(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.v)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM embeddings JOIN c ON v = vec_id GROUP BY vec_id
 """
+
+#: CRC-32 of a decimal number, byte by byte and bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT)"""
+
+# Stretches come from places i and i + q of equal windows of 16 words (a run has one at least), q at most a third of the text.
+ORACLES["op11_periodic_runs"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS o, {_CRC32} AS h FROM documents),
+l AS (SELECT rid, doc_id, o, len(o)::BIGINT AS n, (h % 10 = 0 AND len(o) > 0) AS looped, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN looped THEN g % n END AS a FROM l),
+p AS (SELECT *, CASE WHEN looped THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+x AS (SELECT rid, n, unnest(CASE WHEN looped THEN list_transform(range(0, n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE o END) AS word,
+             unnest(range(0, n)) AS i FROM p),
+w AS (SELECT rid, n, i, md5(string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) AS k FROM x WHERE n >= 24 QUALIFY i + 16 <= n),
+e AS (SELECT w.rid, w.i, v.i - w.i AS q, w.i - row_number() OVER (PARTITION BY w.rid, v.i - w.i ORDER BY w.i) AS island
+      FROM w JOIN w v ON v.rid = w.rid AND v.k = w.k AND v.i > w.i AND 3 * (v.i - w.i) <= w.n),
+s AS (SELECT rid, q, min(i) AS s, count(*) + 15 + q AS len FROM e GROUP BY rid, q, island),
+c AS (SELECT * FROM s WHERE len >= greatest(24, 3 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.rid = c.rid AND z.q < c.q AND c.q % z.q = 0 AND z.s <= c.s AND z.s + z.len >= c.s + c.len)),
+b AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS told FROM r GROUP BY rid),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY len::DOUBLE / q DESC, s, q) = 1),
+g AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM r),
+k AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS gone FROM x LEFT JOIN g ON g.rid = x.rid AND g.i = x.i GROUP BY x.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words, coalesce(gone, 0) AS n_dropped
+FROM p LEFT JOIN b USING (rid) LEFT JOIN f USING (rid) LEFT JOIN k USING (rid)
+"""
+
+_BASE32 = "list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (10 * (i // 8) + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31) + 1)::INT, 1)), lambda s, t: s || t)"
+
+ORACLES["op13_warc_transactions"] = f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x FROM pages),
+r AS (SELECT *, first_value(page_id) OVER w AS origin, row_number() OVER w > 1 AS again FROM p WINDOW w AS (PARTITION BY t ORDER BY page_id NULLS LAST))
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN origin END AS refers_to, 1 AS n_requests, nullif(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), '') AS target_uri
+FROM r
+"""

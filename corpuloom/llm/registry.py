@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuloom.llm import credentials, exact, langid, mixing, packing, sharding, simhash, substring, tokencount, vectors
+from corpuloom.llm import alignment, credentials, exact, langid, mixing, packing, periodic, sharding, simhash, substring, tokencount, vectors, warc
 from corpuloom.llm.oracles import ORACLES
 from corpuloom.session import read_table
 
@@ -51,6 +51,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.detect(spark, read_table(spark, sf_dir, "documents"), loops=True)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op13_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark, read_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_substring_dedup, op3_exact_dedup, op4_source_mix, op5_simhash_dedup, op6_packing,
-        op7_token_counts, op8_sharding, op9_embedding_dedup, op10_language_id, pipeline,
+        op7_token_counts, op8_sharding, op9_embedding_dedup, op10_language_id, op11_periodic_runs, op12_tokenizer_alignment,
+        op13_warc_transactions, pipeline,
     )
 }
 
