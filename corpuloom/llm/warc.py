@@ -110,11 +110,9 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """What stands between two marks, with the bytes that its header asks for and that it has beyond what it needs (negative: cut short)."""
     raw = spark.read.option("lineSep", MARK).text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     raw = raw.withColumn("_place", F.monotonically_increasing_id())
-    # the first piece of a file begins with the mark's second line, the last one ends with the blank lines
-    raw = raw.withColumn("value", F.when(F.startswith("value", F.lit("WARC/1.")), F.expr("substring(value, 8)")).otherwise(F.col("value")))
-    raw = raw.where(_length(F.col("value")) > 0).withColumn("_head", _head(F.col("value")))
-    needs = _length(F.col("_head")) + 4 + F.coalesce(header(F.col("_head"), "Content-Length").try_cast("long"), F.lit(0).cast("long"))
-    return raw.withColumn("_over", _length(F.col("value")) - needs)
+    raw = raw.withColumn("_head", _head(F.col("value")))
+    asked = header(F.col("_head"), "Content-Length").try_cast("long")
+    return raw.withColumn("_over", F.coalesce(_length(F.col("value")) - _length(F.col("_head")) - 4 - asked, F.lit(0).cast("long")))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +132,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         header(head, "WARC-Date").alias("date"), F.regexp_extract_all(head, F.lit(r"(?i)\r\nWARC-Concurrent-To:[ \t]*([^\r\n]*[^\r\n \t])")).alias("concurrent_to"),
         header(head, "WARC-Refers-To").alias("refers_to"), header(head, "WARC-Payload-Digest").alias("payload_digest"), header(head, "Content-Type").alias("content_type"),
         block.alias("block"),
-    )
+    ).where(F.col("type").isNotNull())
 
 
 def _owners(frame):
@@ -212,7 +210,7 @@ def archive(spark: SparkSession, pages: DataFrame, least: int = 0, path: str | N
     write(spark, pages, path, least)
     held = captures(records(spark, path)).select(
         "record_id", "type", "refers_to", "target_uri", "payload_bytes", F.col("payload_sha1").alias("payload_digest"),
-        field(F.col("metadata")[0]["block"], "page-id").cast("long").alias("page_id"), F.size("requests").alias("n_requests"),
+        field(F.get("metadata", F.lit(0))["block"], "page-id").cast("long").alias("page_id"), F.size("requests").alias("n_requests"),
     )
     held = Scratch(spark, "warc").table(held, "captures")
     origin = held.where(F.col("type") == "response").select(*[F.col(c).alias(f"_{c}") for c in ("record_id", "page_id", "payload_bytes", "payload_digest")])
