@@ -65,6 +65,28 @@ class Vocabulary:
         return b"".join(self.tokens[ids].tolist())
 
 
+def ranked(told: dict, tokens: list[bytes], letters: dict[str, int]):
+    """The same byte-level BPE for tiktoken, which takes a quarter of the time, or None where it wouldn't be the same.
+
+    It is the same where nothing normalizes, the usual pattern splits, and ids rise with the order of the merges.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    before, model = told.get("pre_tokenizer") or {}, told["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told.get("normalizer")
+    plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain:
+        return None
+    ranks = {t: i for i, t in enumerate(tokens) if t}
+    joined = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [ranks[bytes(map(letters.__getitem__, x + y))] for x, y in joined]
+    single = [ranks.get(bytes([x]), len(ranks)) for x in range(256)]
+    if order != sorted(set(order)) or max(single) >= min(order, default=len(ranks)) or len(ranks) != 256 + len(order):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Both:
     """The two tokenizers."""
 
@@ -77,9 +99,11 @@ class Both:
         self.a.encode_special_tokens = True
         letters = byte_letters()
         with open(a, encoding="utf-8") as file:
-            special = {t["id"] for t in json.load(file)["added_tokens"]}
+            told = json.load(file)
+        special = {t["id"] for t in told["added_tokens"]}
         entries = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.a_words = Vocabulary([t.encode() if i in special else bytes(map(letters.__getitem__, t)) for i, t in enumerate(entries)])
+        self.a_ranks = ranked(told, [b"" if i in special else t for i, t in enumerate(self.a_words.tokens)], letters)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_words = Vocabulary([bytes([int(m[1], 16)]) if (m := re.fullmatch("<0x([0-9A-F]{2})>", p)) else p.replace("▁", " ").encode() for p in pieces])
@@ -87,7 +111,10 @@ class Both:
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and of B of each text; none where a tokenizer doesn't give the text back, or there is none."""
         plain = [t.decode() for t in texts]
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + t for t in plain], add_special_tokens=False)]
+        if self.a_ranks is not None:
+            a = [np.array(self.a_ranks.encode_ordinary(" " + t), np.int64) for t in plain]
+        else:
+            a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + t for t in plain], add_special_tokens=False)]
         b = [np.array(ids, np.int64) for ids in self.b.encode(plain, num_threads=1)]
         for i, text in enumerate(texts):
             if not text or self.a_words.joined(a[i]) != b" " + text or self.b_words.joined(b[i]) != b" " + text:
