@@ -64,7 +64,9 @@ def write(spark: SparkSession, pages: DataFrame, path: str, least: int = 0, comp
     rows = own(pages, "page_id", "url", "html").select(F.monotonically_increasing_id().alias("_row"), "page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     # rows are told apart by number, so they are written before they are numbered a second time
-    rows = Scratch(spark, "warc").table(rows, "pages")
+    staged = f"{Scratch(spark, 'warc').root}/pages"
+    rows.write.option("compression", "zstd").parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
     one = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "_row", "url")
     first = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("_digest")).agg(F.min(one).alias("_first"))
     rows = rows.join(first, (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= least), "left")
