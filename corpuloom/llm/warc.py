@@ -30,6 +30,7 @@ LINE, BLANK = "\r\n", "\r\n\r\n"
 #: What stands between two records: the end of one and the beginning of the next, up to the minor version.
 MARK = "\r\n\r\nWARC/1."
 DATE = "2020-01-01T00:00:00Z"
+CAPTURES = ("response", "revisit", "resource")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -168,21 +169,29 @@ def _payload(block: Column) -> Column:
     return F.substring(block, (_length(_head(block.cast("string"))) + 5).cast("int"), F.octet_length(block))
 
 
+def measured(records: DataFrame) -> DataFrame:
+    """Records with what their blocks hold: http (head of the message), payload, its payload_bytes and payload_sha1 (in base32)."""
+    http = F.coalesce(F.startswith(F.col("content_type"), F.lit("application/http")), F.lit(False))
+    payload = F.when(http, _payload(F.col("block"))).otherwise(F.col("block"))
+    return records.select(
+        "*", F.when(http, _head(F.col("block").cast("string"))).alias("http"), payload.alias("payload"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_sha1"),
+    )
+
+
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: its record_id, type, target_uri, date, refers_to, payload_digest (as stated), http (head of the
     message), payload, its payload_bytes and payload_sha1 (as read, in base32), and lists of its request and metadata records.
 
     A capture is a response, revisit or resource record. A part belongs to it when one of the two names the other in
     WARC-Concurrent-To. What is measured of a payload is measured before the join, so payloads move only where they are asked for.
+    ``records`` may be measured already.
     """
-    is_capture = F.col("type").isin("response", "revisit", "resource")
-    text = F.col("block").cast("string")
-    http = F.coalesce(F.startswith(F.col("content_type"), F.lit("application/http")), F.lit(False))
-    payload = F.when(http, _payload(F.col("block"))).otherwise(F.col("block"))
-    found = records.where(is_capture).select(
-        "record_id", "type", "target_uri", "date", "refers_to", "payload_digest", F.when(http, _head(text)).alias("http"), payload.alias("payload"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_sha1"), "concurrent_to",
-    )
+    if "payload_sha1" not in records.columns:
+        records = measured(records)
+    found = records.where(F.col("type").isin(*CAPTURES)).select(
+        "record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "http", "payload", "payload_bytes", "payload_sha1", "concurrent_to"
+    )
     parts = records.where(F.col("type").isin("request", "metadata")).select(F.struct("record_id", "type", "target_uri", "date", "content_type", "block").alias("part"), "concurrent_to")
     # names under which a part may know its capture: the capture's own, and the part's own where the capture names it
     known = found.select(F.col("record_id").alias("_capture"), F.explode(F.array_distinct(F.concat(F.array("record_id"), "concurrent_to"))).alias("_name"))
@@ -210,7 +219,9 @@ def archive(spark: SparkSession, pages: DataFrame, least: int = 0, path: str | N
     """
     path = path or f"{Scratch(spark, 'warc').root}/archive"
     write(spark, pages, path, least)
-    held = captures(records(spark, path)).select(
+    # read once: captures without their bytes, and the other records
+    read = measured(records(spark, path)).withColumns({"payload": F.lit(None).cast("binary"), "block": F.when(~F.col("type").isin(*CAPTURES), F.col("block"))})
+    held = captures(Scratch(spark, "warc").table(read, "records")).select(
         "record_id", "type", "refers_to", "target_uri", "payload_bytes", F.col("payload_sha1").alias("payload_digest"),
         field(F.get("metadata", F.lit(0))["block"], "page-id").cast("long").alias("page_id"), F.size("requests").alias("n_requests"),
     )
