@@ -1,5 +1,5 @@
 """Kernel machines: five types by sequential minimal optimization, one model per group that fits a task;
-random Fourier features and a distributed linear model for larger groups."""
+larger groups by the same problem's decomposition over the cluster (operators/large_kernel.py)."""
 
 from __future__ import annotations
 
@@ -215,16 +215,14 @@ def _apart_offset(a, g, s, limit) -> tuple[float, float]:
     return (r1 + r2) / 2, (r1 - r2) / 2
 
 
-def by_group(spark: SparkSession, rows: DataFrame, group: str = "group", most: int = 5000, features: int = 256, rounds: int = 60, **options) -> DataFrame:
+def by_group(spark: SparkSession, rows: DataFrame, group: str = "group", most: int = 5000, **options) -> DataFrame:
     """One machine per group (rows: group, id, y, x; y null where to predict): group, id, pred.
 
-    SMO needs a group's kernel in one task. Groups of more than ``most`` labelled rows, for which
-    that is too large, are each fitted over the whole cluster instead: random Fourier features of
-    the RBF kernel (of the vector itself for the linear one) and a linear model with the squared hinge
-    or the squared margin of regression. Other kernels and kinds have no such way and raise.
+    A group of up to ``most`` rows, those to predict included, is fitted in one task, which holds its kernel. Larger ones
+    are solved over the whole cluster to the same optimality; precomputed kernels, whose rows are as long as the group, raise there.
     """
     ship(spark)
-    large = [r[group] for r in rows.where(F.col("y").isNotNull()).groupBy(group).count().where(F.col("count") > most).select(group).collect()]  # a row per ``most`` rows at most
+    large = [r[group] for r in rows.groupBy(group).count().where(F.col("count") > most).select(group).collect()]  # a row per ``most`` rows at most
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, known = np.stack(pdf["x"].to_numpy()), pdf["y"].notna().to_numpy()
@@ -234,33 +232,14 @@ def by_group(spark: SparkSession, rows: DataFrame, group: str = "group", most: i
         return pd.DataFrame({group: pdf[group], "id": pdf["id"], "pred": pred})
 
     kind = rows.schema[group].dataType.simpleString()
-    small = rows.where(~F.col(group).isin(large)) if large else rows
+    named = spark.createDataFrame([(v,) for v in large], f"_large {kind}")
+    small = rows.join(F.broadcast(named), F.col(group).eqNullSafe(F.col("_large")), "left_anti") if large else rows
     out = small.groupBy(group).applyInPandas(run, f"{group} {kind}, id long, pred double")
-    for value in large:
-        out = out.unionByName(_large(spark, rows.where(F.col(group) == F.lit(value)), group, features, rounds, **options))
-    return out
-
-
-def _large(spark: SparkSession, rows: DataFrame, group: str, features: int, rounds: int, kind: str = "c_svc", kernel: str = "rbf", gamma: float = 1.0, c: float = 1.0, epsilon: float = 0.1, class_weights: dict | None = None, **_) -> DataFrame:
-    from corpuloom.operators import linear as L
+    if large:
+        from corpuloom.operators import large_kernel
 
-    if kernel not in ("rbf", "linear") or kind not in ("c_svc", "epsilon_svr"):
-        raise ValueError(f"a group is too large for one kernel, and {kind} with the kernel {kernel} has no features")
-    width = len(rows.select("x").first()["x"])
-    z = fourier(F.col("x"), width, features, gamma) if kernel == "rbf" else F.col("x")
-    size = features if kernel == "rbf" else width
-    data = rows.select(group, "id", "y", F.sequence(F.lit(0), F.lit(size - 1)).alias("idx"), z.alias("val"))
-    known = data.where(F.col("y").isNotNull())
-    if kind == "epsilon_svr":
-        model = L.fit(spark, known, size, "squared_epsilon", c, epsilon, rounds=rounds)
-    else:
-        classes = [r["y"] for r in known.select("y").distinct().limit(3).collect()]
-        if len(classes) == 1:
-            return rows.select(group, F.col("id").cast("long").alias("id"), F.lit(float(classes[0])).alias("pred"))
-        model = L.fit(spark, known, size, "squared_hinge" if len(classes) == 2 else "crammer_singer", c, rounds=rounds, class_weights=class_weights)
-    pred = L.predict(spark, data, model).select("id", "pred")
-    key = rows.select(group).first()[group]
-    return pred.select(F.lit(key).cast(rows.schema[group].dataType).alias(group), "id", "pred")
+        out = out.unionByName(large_kernel.by_group(spark, rows, group, large, **options))
+    return out
 
 
 def fourier(vector: Column, size: int, features: int = 256, gamma: float = 1.0, seed: int = 1) -> Column:

@@ -3,7 +3,9 @@
 Rows: y, idx (array of feature indices from 0), val, weight (optional). A bias is one more feature
 of value 1, penalized like the others. A gradient is as long as the features (times the classes),
 which is checked; each evaluation is one pass over the cached rows, and partitions give one partial
-gradient each, summed by an aggregation. Losses without a gradient at their corner have it rounded off.
+gradient each, summed by an aggregation. For L-BFGS, losses without a gradient at their corner have it
+rounded off; operators/dual.py solves them as they are. Smooth losses can also be solved by trust-region
+Newton steps, whose Hessian-vector products are a pass each. operators/sparse_linear.py has the L1 penalty.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuloom.functions.special import logsumexp
-from corpuloom.operators.optimize import Result, lbfgs
+from corpuloom.operators.optimize import Result, lbfgs, trust_region
 from corpuloom.session import ship
 
 MOST_WEIGHTS = 20_000_000
 LOSSES = ("logistic", "hinge", "squared_hinge", "epsilon", "squared_epsilon", "multinomial", "crammer_singer")
 REGRESSION = ("epsilon", "squared_epsilon")
+#: Losses with a second derivative (almost everywhere).
+CURVED = ("logistic", "squared_hinge", "squared_epsilon", "multinomial")
 #: Losses with a corner are quadratic over so much of the margin behind it, which moves a value by half of that at most.
 CORNER = 0.01
 
@@ -37,23 +41,31 @@ class Linear:
     fitted: Result | None = None
 
 
-def _cornered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cornered(x: np.ndarray, corner: float = CORNER) -> tuple[np.ndarray, np.ndarray]:
     """max(0, x) with its corner rounded off, and the slope."""
-    slope = np.clip(x / CORNER, 0, 1)
-    return np.where(x > CORNER, x - CORNER / 2, slope * slope * CORNER / 2), slope
+    slope = np.clip(x / corner, 0, 1)
+    return np.where(x > corner, x - corner / 2, slope * slope * corner / 2), slope
 
 
-def _loss(loss: str, z: np.ndarray, y: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+def _margins_of(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each class's margin over the own class, plus one for the wrong ones."""
+    place = y.astype(int)
+    out = z - z[np.arange(len(y)), place][:, None] + 1
+    out[np.arange(len(y)), place] = 0
+    return out
+
+
+def _loss(loss: str, z: np.ndarray, y: np.ndarray, epsilon: float, corner: float = CORNER) -> tuple[np.ndarray, np.ndarray]:
     """Values and derivatives by the margins z (rows x outputs); y is a sign, a class place or a number."""
     if loss == "logistic":
         m = y * z[:, 0]
         return np.logaddexp(0, -m), (-y / (1 + np.exp(m)))[:, None]
     if loss == "hinge":
-        value, slope = _cornered(1 - y * z[:, 0])
+        value, slope = _cornered(1 - y * z[:, 0], corner)
         return value, (-y * slope)[:, None]
     if loss == "epsilon":
         gap = z[:, 0] - y
-        value, slope = _cornered(np.abs(gap) - epsilon)
+        value, slope = _cornered(np.abs(gap) - epsilon, corner)
         return value, (np.sign(gap) * slope)[:, None]
     if loss == "squared_hinge":
         gap = np.maximum(0, 1 - y * z[:, 0])
@@ -64,14 +76,19 @@ def _loss(loss: str, z: np.ndarray, y: np.ndarray, epsilon: float) -> tuple[np.n
         return over**2, (2 * over)[:, None]
     place = y.astype(int)
     rows = np.arange(len(y))
+    if loss == "class_margin":  # the greatest margin, smoothed as by a temperature
+        margins = _margins_of(z, y) / corner
+        log_sum = logsumexp(margins, axis=1)
+        d = np.exp(margins - log_sum[:, None])
+        d[rows, place] -= 1
+        return corner * log_sum, d
     if loss == "multinomial":
         log_sum = logsumexp(z, axis=1)
         d = np.exp(z - log_sum[:, None])
         value = log_sum - z[rows, place]
         d[rows, place] -= 1
         return value, d
-    margins = z - z[rows, place][:, None] + 1  # squared gap to the best wrong class
-    margins[rows, place] = 0
+    margins = _margins_of(z, y)  # squared gap to the best wrong class
     worst = margins.argmax(1)
     gap = np.maximum(margins[rows, worst], 0)
     d = np.zeros_like(z)
@@ -80,7 +97,64 @@ def _loss(loss: str, z: np.ndarray, y: np.ndarray, epsilon: float) -> tuple[np.n
     return gap**2, d
 
 
-def _gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray, loss: str, epsilon: float):
+def _curve(loss: str, z: np.ndarray, y: np.ndarray, epsilon: float, corner: float = CORNER) -> np.ndarray:
+    """Second derivatives by the margins (rows x 1), or class probabilities (rows x classes) of which the curvature of several outputs is made."""
+    if loss in ("hinge", "epsilon"):
+        x = 1 - y * z[:, 0] if loss == "hinge" else np.abs(z[:, 0] - y) - epsilon
+        return ((x > 0) & (x < corner))[:, None] / corner
+    if loss == "class_margin":
+        margins = _margins_of(z, y) / corner
+        return np.exp(margins - logsumexp(margins, axis=1)[:, None])
+    if loss == "logistic":
+        p = 1 / (1 + np.exp(-np.abs(z)))
+        return p * (1 - p)
+    if loss == "squared_hinge":
+        return 2.0 * (y * z[:, 0] < 1)[:, None]
+    if loss == "squared_epsilon":
+        return 2.0 * (np.abs(z[:, 0] - y) > epsilon)[:, None]
+    return np.exp(z - logsumexp(z, axis=1)[:, None])
+
+
+class Sparse:
+    """The rows of a batch as parallel arrays: y, weight, and for each cell its row, feature and value."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+        self.weight = batch.column("weight").to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(len(self.y)), np.diff(batch.column("idx").offsets.to_numpy()))  # flatten() follows a slice
+        self.i, self.v = batch.column("idx").flatten().to_numpy(), batch.column("val").flatten().to_numpy()
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.row, w[k, self.i] * self.v, len(self.y)) + w[k, -1] for k in range(len(w))], 1)
+
+    def back(self, d: np.ndarray, features: int, power: int = 1) -> np.ndarray:
+        """The sum of d (rows x outputs) times the rows' features, to a power, outputs x (features + bias)."""
+        v = self.v**power
+        return np.stack([np.append(np.bincount(self.i, d[self.row, k] * v, features), d[:, k].sum()) for k in range(d.shape[1])])
+
+
+def _sums(total: np.ndarray, head: float = 0.0) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([head, *total.ravel()[at].tolist()], pa.float64())], ["i", "x"])
+
+
+def _curved(batches: Iterator[pa.RecordBatch], w: np.ndarray, v: np.ndarray | None, loss: str, epsilon: float, corner: float = CORNER):
+    """Partial sums of the losses' Hessian times v; of its diagonal where v is None."""
+    total = np.zeros_like(w)
+    for batch in batches:
+        rows = Sparse(batch)
+        curve = _curve(loss, rows.margins(w), rows.y, epsilon, corner)
+        many, heat = loss in ("multinomial", "class_margin"), corner if loss == "class_margin" else 1.0
+        if v is None:
+            d = curve * (1 - curve) / heat if many else curve
+        else:
+            along = rows.margins(v)
+            d = curve * (along - (curve * along).sum(1)[:, None]) / heat if many else curve * along
+        total += rows.back(d * rows.weight[:, None], w.shape[1] - 1, 2 if v is None else 1)
+    yield _sums(total)
+
+
+def _gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray, loss: str, epsilon: float, corner: float = CORNER):
     total, g = 0.0, np.zeros_like(w)
     for batch in batches:
         y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
@@ -90,7 +164,7 @@ def _gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray, loss: str, epsil
         i, v = idx.flatten().to_numpy(), val.flatten().to_numpy()
         row = np.repeat(np.arange(len(y)), counts)
         z = np.stack([np.bincount(row, w[k, i] * v, len(y)) + w[k, -1] for k in range(len(w))], 1)
-        f, d = _loss(loss, z, y, epsilon)
+        f, d = _loss(loss, z, y, epsilon, corner)
         total += float((c * f).sum())
         d = d * c[:, None]
         for k in range(len(w)):
@@ -100,10 +174,78 @@ def _gradient(batches: Iterator[pa.RecordBatch], w: np.ndarray, loss: str, epsil
     yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([total, *g.ravel()[at].tolist()], pa.float64())], ["i", "x"])
 
 
-def objective(rows: DataFrame, shape: tuple[int, int], loss: str, c: float, epsilon: float):
+def _curvatures(loss: str, z: np.ndarray, y: np.ndarray, epsilon: float, corner: float) -> np.ndarray:
+    """Second derivatives by pairs of outputs: outputs x outputs x rows."""
+    curve = _curve(loss, z, y, epsilon, corner)
+    if loss not in ("multinomial", "class_margin"):
+        return curve.T[None]
+    heat = corner if loss == "class_margin" else 1.0
+    p = curve.T
+    return (np.eye(len(p))[:, :, None] * p[:, None, :] - p[:, None, :] * p[None, :, :]) / heat
+
+
+def _hessian(batches: Iterator[pa.RecordBatch], w: np.ndarray, loss: str, epsilon: float, corner: float):
+    """Partial sums of the losses' whole Hessian, the upper triangle in a line."""
+    outputs, width = w.shape
+    total = np.zeros((w.size, w.size))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            rows = Sparse(batch.slice(at, 2048))
+            x = np.zeros((len(rows.y), width))
+            np.add.at(x, (rows.row, rows.i), rows.v)
+            x[:, -1] = 1
+            curves = _curvatures(loss, x @ w.T, rows.y, epsilon, corner) * rows.weight
+            for a in range(outputs):
+                for b in range(a, outputs):
+                    total[a * width : (a + 1) * width, b * width : (b + 1) * width] += (x * curves[a, b][:, None]).T @ x
+    yield _sums(total[np.triu_indices(w.size)])
+
+
+#: Weights up to which the whole Hessian is summed in one pass; beyond it each of its products is a pass.
+DIRECT = 512
+
+
+def curvature(rows: DataFrame, shape: tuple[int, int], loss: str, c: float, epsilon: float, corner: float = CORNER, passes: list[int] | None = None):
+    """The Hessian of the objective at w, as products with vectors and as its diagonal; one pass in all for few weights, else a pass each."""
+    size = shape[0] * shape[1]
+    passes = passes if passes is not None else [0]
+
+    def direct(w: np.ndarray):
+        passes[0] += 1
+        parts = rows.mapInArrow(partial(_hessian, w=w.reshape(shape), loss=loss, epsilon=epsilon, corner=corner), "i long, x double")
+        sums = parts.where("i >= 0").groupBy("i").agg(F.sum("x").alias("x")).toPandas()  # at most DIRECT squared
+        upper = np.zeros(size * (size + 1) // 2)
+        upper[sums["i"].to_numpy()] = sums["x"].to_numpy()
+        h = np.zeros((size, size))
+        h[np.triu_indices(size)] = c * upper
+        h = h + np.triu(h, 1).T + np.eye(size)
+        return lambda v: h @ v, np.diag(h).copy()
+
+    if size <= DIRECT:
+        return direct
+
+    def total(w, v):
+        passes[0] += 1
+        parts = rows.mapInArrow(partial(_curved, w=w, v=v, loss=loss, epsilon=epsilon, corner=corner), "i long, x double")
+        sums = parts.where("i >= 0").groupBy("i").agg(F.sum("x").alias("x")).toPandas()  # as long as the weights
+        out = np.zeros(w.size)
+        out[sums["i"].to_numpy()] = sums["x"].to_numpy()
+        return out
+
+    def at(w: np.ndarray):
+        w = w.reshape(shape)
+        return lambda v: v + c * total(w, v.reshape(shape)), 1 + c * total(w, None)
+
+    return at
+
+
+def objective(rows: DataFrame, shape: tuple[int, int], loss: str, c: float, epsilon: float, corner: float = CORNER, passes: list[int] | None = None):
     """1/2 |w|^2 + C sum of losses, as a function of w for an optimizer."""
+    passes = passes if passes is not None else [0]
+
     def f(w: np.ndarray):
-        parts = rows.mapInArrow(partial(_gradient, w=w.reshape(shape), loss=loss, epsilon=epsilon), "i long, x double")
+        passes[0] += 1
+        parts = rows.mapInArrow(partial(_gradient, w=w.reshape(shape), loss=loss, epsilon=epsilon, corner=corner), "i long, x double")
         g, value = np.zeros(w.size), 0.0
         sums = parts.groupBy("i").agg(F.sum("x").alias("x")).toPandas()  # as long as the weights
         head = sums["i"].to_numpy() < 0
@@ -115,12 +257,34 @@ def objective(rows: DataFrame, shape: tuple[int, int], loss: str, c: float, epsi
 
 
 def fit(
-    spark: SparkSession, rows: DataFrame, features: int, loss: str = "logistic", c: float = 1.0, epsilon: float = 0.1, l1: bool = False, rounds: int = 60, class_weights: dict | None = None
+    spark: SparkSession, rows: DataFrame, features: int, loss: str = "logistic", c: float = 1.0, epsilon: float = 0.1, l1: bool = False, rounds: int = 60, class_weights: dict | None = None,
+    solver: str = "lbfgs", tolerance: float = 1e-5,
 ) -> Linear:
-    """l1 replaces 1/2 |w|^2 by the sum of |w| (proximal gradients)."""
+    """l1 replaces 1/2 |w|^2 by the sum of |w| (proximal gradients). solver: lbfgs, or newton for losses of CURVED."""
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
+    if solver not in ("lbfgs", "newton") or solver == "newton" and (loss not in CURVED or l1):
+        raise ValueError(f"solver is lbfgs, or newton for one of {CURVED} without l1")
     ship(spark)
+    data, classes, outputs = prepared(rows, features, loss, class_weights)
+    data = data.cache()
+    shape = (outputs, features + 1)
+    passes = [0]
+    f = objective(data, shape, loss, c, epsilon, passes=passes)
+    x0 = np.zeros(outputs * (features + 1))
+    if l1:
+        out = proximal(f, x0, rounds)
+    elif solver == "newton":
+        out = trust_region(f, curvature(data, shape, loss, c, epsilon, passes=passes), x0, rounds, tolerance)
+    else:
+        out = lbfgs(f, x0, rounds=rounds, tolerance=tolerance)
+    out.passes = passes[0]
+    data.unpersist()
+    return Linear(out.x.reshape(shape), classes, loss, out)
+
+
+def prepared(rows: DataFrame, features: int, loss: str, class_weights: dict | None = None) -> tuple[DataFrame, list, int]:
+    """Rows as the solvers take them (y as a sign, class place or number; weight), the classes, and how many outputs there are."""
     classes: list = []
     if loss not in REGRESSION:
         most = MOST_WEIGHTS // (features + 1)  # more have no place in the model
@@ -137,13 +301,7 @@ def fit(
     if classes:
         places = [(-1.0, 1.0)[k] if outputs == 1 else float(k) for k in range(len(classes))]
         code = F.coalesce(*[F.when(F.col("y") == y, F.lit(p)) for y, p in zip(classes, places)])
-    data = rows.select(code.alias("y"), F.col("idx").cast("array<int>").alias("idx"), F.col("val").cast("array<double>").alias("val"), weight.cast("double").alias("weight")).cache()
-    shape = (outputs, features + 1)
-    f = objective(data, shape, loss, c, epsilon)
-    x0 = np.zeros(outputs * (features + 1))
-    out = proximal(f, x0, rounds) if l1 else lbfgs(f, x0, rounds=rounds, tolerance=1e-5)
-    data.unpersist()
-    return Linear(out.x.reshape(shape), classes, loss, out)
+    return rows.select(code.alias("y"), F.col("idx").cast("array<int>").alias("idx"), F.col("val").cast("array<double>").alias("val"), weight.cast("double").alias("weight")), classes, outputs
 
 
 def proximal(f, x0: np.ndarray, rounds: int, tolerance: float = 1e-6) -> Result:

@@ -23,7 +23,7 @@ def query(oracle: str | None = None):
 
 
 def _load() -> None:
-    from corpuloom.plans import file_queries, model_queries, step_queries, text_queries, user_queries  # noqa: F401
+    from corpuloom.plans import file_queries, model_queries, solver_queries, step_queries, text_queries, user_queries  # noqa: F401
 
 
 _load()
