@@ -215,11 +215,11 @@ def _apart_offset(a, g, s, limit) -> tuple[float, float]:
     return (r1 + r2) / 2, (r1 - r2) / 2
 
 
-def by_group(spark: SparkSession, rows: DataFrame, group: str = "group", most: int = 5000, **options) -> DataFrame:
-    """One machine per group (rows: group, id, y, x; y null where to predict): group, id, pred.
+def by_group(spark: SparkSession, rows: DataFrame, group: str = "group", most: int = 5000, working: int = 512, **options) -> DataFrame:
+    """One machine per group (rows: group, id, y, x; y null where to predict): group, id, pred (null in a group without a label).
 
     A group of up to ``most`` rows, those to predict included, is fitted in one task, which holds its kernel. Larger ones
-    are solved over the whole cluster to the same optimality; precomputed kernels, whose rows are as long as the group, raise there.
+    are solved over the whole cluster to the same optimality, ``working`` variables at a time; precomputed kernels, whose rows are as long as the group, raise there.
     """
     ship(spark)
     large = [r[group] for r in rows.groupBy(group).count().where(F.col("count") > most).select(group).collect()]  # a row per ``most`` rows at most
@@ -238,7 +238,7 @@ def by_group(spark: SparkSession, rows: DataFrame, group: str = "group", most: i
     if large:
         from corpuloom.operators import large_kernel
 
-        out = out.unionByName(large_kernel.by_group(spark, rows, group, large, **options))
+        out = out.unionByName(large_kernel.by_group(spark, rows, group, large, working=working, **options))
     return out
 
 

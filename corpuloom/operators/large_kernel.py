@@ -185,8 +185,12 @@ def decisions(
             advance(told(rows))
     else:
         advance({})
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        return _solved(frame, kernel, options, apart, tolerance)
+
     for _ in range(rounds):
-        solved = _sets(state, working, apart).groupBy("problem").applyInPandas(partial(_solved, kernel=kernel, options=options, apart=apart, tolerance=tolerance), _CHANGE)
+        solved = _sets(state, working, apart).groupBy("problem").applyInPandas(solve, _CHANGE)
         moves = [r.asDict() for r in solved.collect()]  # working x WAVE rows at most
         changes = told([r for r in moves if r["vid"] >= 0])
         if not changes:
@@ -222,7 +226,7 @@ def by_group(spark: SparkSession, rows: DataFrame, group: str, values: list, wav
     else:
         machines = [(r["_g"], r["_g"], 0.0, 0.0, 0, 0, 0, 0) for r in held.where("y is not null").select("_g").distinct().collect()]
     fitted = {m[1] for m in machines} | {g for g, _ in alone}
-    alone += [(g, float("nan")) for g in range(len(values)) if g not in fitted]  # without a label, as in one task
+    alone += [(g, None) for g in range(len(values)) if g not in fitted]  # without a label, as in one task
     for at in range(0, len(machines), wave):
         table = spark.createDataFrame(machines[at : at + wave], "problem int, _of int, pos double, neg double, n_pos long, n_neg long, i int, j int")
         each = held.join(F.broadcast(table), F.col("_g") == F.col("_of"))

@@ -148,7 +148,7 @@ def searched_newton(f: Objective, curvature: Callable[[np.ndarray], tuple[Callab
         times, scale = curvature(x)
         s, _, _ = truncated_newton(g, times, scale, np.inf, min(0.1, np.sqrt(size / max(first, 1e-300))))
         step, new, grad = _line(f, x, value, g, s, c2=0.2, most=20)
-        if new >= value - 1e-15 * abs(value):
+        if new >= value - 1e-15 * abs(value) and np.linalg.norm(grad) >= 0.5 * size:  # below what the sums can tell
             return Result(x, value, r, bool(np.linalg.norm(grad) <= tolerance * max(1.0, np.linalg.norm(x))))
         x, value, g = x + step * s, new, grad
     return Result(x, value, rounds, bool(np.linalg.norm(g) <= tolerance * max(1.0, np.linalg.norm(x))))

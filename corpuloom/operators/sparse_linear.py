@@ -136,7 +136,12 @@ def fit(
         place[movable] = np.arange(len(movable))
         cells = data.mapInArrow(partial(_curvatures, w=w[None], place=place, size=size, loss=loss, epsilon=epsilon), "block long, cell long, x double")
         cells = cells.groupBy("block", "cell").agg(F.sum("x").alias("x"))
-        moves = cells.groupBy("block").applyInPandas(partial(_solved, w=w[movable], g=g[movable], size=size, c=c), "i long, x double").toPandas()  # as long as the weights
+        here, slope = w[movable], g[movable]
+
+        def solve(frame: pd.DataFrame) -> pd.DataFrame:
+            return _solved(frame, here, slope, size, c)  # noqa: B023
+
+        moves = cells.groupBy("block").applyInPandas(solve, "i long, x double").toPandas()  # as long as the weights
         d = np.zeros(features + 1)
         d[movable[moves["i"].to_numpy(dtype=int)]] = moves["x"].to_numpy(dtype=float)
         values = data.mapInArrow(partial(_values, w=w[None], d=d[None], loss=loss, epsilon=epsilon), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
