@@ -16,7 +16,10 @@ first comparison, so that exchanges stay small; what that connects is compared i
 bits differ independently with a chance of acos(c) / pi, c = 2 J / (1 + J) at a Jaccard similarity of
 J. The radius is put where 94 of 100 pairs at J = similarity are linked, 99 of 100 at J + 0.05, 1 of
 6 at J - 0.1 and 1 of 300 at J - 0.2; bands and first comparison miss 1 of 60 at J. Nothing
-depends on the size of the input but the number of bands, which keeps the buckets small.
+depends on the size of the input but the number of bands, which keeps the buckets small. What the
+bits link is then verified by the shingles themselves: the documents that got so far are read once
+more, their shingles' 64-bit hashes go with the fingerprints, and a pair links only at a Jaccard
+similarity of ``similarity`` or more. Pairs that others have connected already are not looked at.
 
 Defined results: a null text or one without words has fingerprint 0, which is linked like any
 other. Texts of fewer words than a shingle are one shingle. component_id is the least doc_id
@@ -194,8 +197,56 @@ def _slices(per: np.ndarray, most: int):
         lo = hi
 
 
-def _links(batches, key: list[str], member: str, fp: tuple[str, ...], radius: int):
-    """Edges between members; their fingerprints are in 64-bit columns or in one binary column."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 of the shingles that fingerprint() takes."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    joined, at = b" ".join(words), [0]
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    width = min(shingle, len(words))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[at[i] : at[i + width] - 1], SEED) for i in range(len(words) - width + 1)), "<u8"))
+
+
+def _hashed(batches, shingle: int):
+    for batch in K.bounded(batches):
+        sets = [shingle_hashes(t, shingle).tobytes() for t in K.texts(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+
+def verified(a: np.ndarray, b: np.ndarray, sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Of the pairs of places, some that connect as much as all those do whose sets are that similar."""
+    root: dict[int, int] = {}
+    known: dict[int, frozenset] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    def of(x: int) -> frozenset:
+        if x not in known:
+            known[x] = frozenset(np.frombuffer(sets[x], "<u8").tolist())
+        return known[x]
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(x), find(y)
+        least, most = sorted((len(sets[x]), len(sets[y])))
+        if p == q or least < similarity * most - 1e-6:
+            continue
+        m, n = of(x), of(y)
+        both = len(m & n)
+        if both / (len(m) + len(n) - both) >= similarity:
+            root[max(p, q)] = min(p, q)
+            kept.append((x, y))
+    return kept
+
+
+def _links(batches, key: list[str], member: str, fp: tuple[str, ...], radius: int, similarity: float | None = None):
+    """Edges between members; their fingerprints are in 64-bit columns or in one binary column. With ``similarity`` they are verified by their shingles."""
 
     def work(table: pa.Table):
         starts, ends = blocks.runs(table, key)
@@ -204,7 +255,8 @@ def _links(batches, key: list[str], member: str, fp: tuple[str, ...], radius: in
         else:
             fps = np.stack([table.column(c).to_numpy().view(np.uint64) for c in fp], axis=1)
         ids = table.column(member).to_numpy()
-        kept = blocks.forest(*near(fps, starts, ends, radius))
+        pairs = near(fps, starts, ends, radius)
+        kept = blocks.forest(*pairs) if similarity is None else verified(*pairs, table.column("shingles").to_pylist(), similarity)
         if kept:
             x, y = np.array(kept).T
             yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], ["a", "b"])
@@ -212,13 +264,13 @@ def _links(batches, key: list[str], member: str, fp: tuple[str, ...], radius: in
     yield from blocks.streamed(batches, key, work)
 
 
-def _edges(spark: SparkSession, members: DataFrame, key: list[str], member: str, fp: tuple[str, ...], radius: int, block: int) -> DataFrame:
+def _edges(spark: SparkSession, members: DataFrame, key: list[str], member: str, fp: tuple[str, ...], radius: int, block: int, similarity: float | None = None) -> DataFrame:
     dealt = blocks.deal(members, key, member, block)
     key = [*key, "_i", "_j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         dealt.repartition(parts, *key).sortWithinPartitions(*key, member)
-        .mapInArrow(partial(_links, key=key, member=member, fp=fp, radius=radius), "a long, b long")
+        .mapInArrow(partial(_links, key=key, member=member, fp=fp, radius=radius, similarity=similarity), "a long, b long")
     )
 
 
@@ -263,8 +315,11 @@ def wide_plan(count: int, similarity: float) -> tuple[list[list[int]], int, int]
     return chosen, reach(PROBE, 2.6), reach(WIDE, 1.55)
 
 
-def link_wide(spark: SparkSession, prints: DataFrame, scratch: Scratch, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Fingerprints of WIDE bits (binary fp) -> fp, root over the links; fingerprints without one don't occur."""
+def link_wide(spark: SparkSession, prints: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, shingle: int, block: int = BLOCK) -> DataFrame:
+    """Fingerprints of WIDE bits (binary fp) -> fp, root over the links; fingerprints without one don't occur.
+
+    prints also has _text, the key under which ``texts`` (_key, text) has the text.
+    """
     words = PROBE // 64
     fps = scratch.table(prints.select("fp").distinct().withColumn("id", F.monotonically_increasing_id()), "fingerprints")
     bands, first, radius = wide_plan(fps.count(), similarity)
@@ -279,7 +334,13 @@ def link_wide(spark: SparkSession, prints: DataFrame, scratch: Scratch, similari
     meets = F.explode(F.array(*[F.xxhash64(F.lit(i), *masked(bits)) for i, bits in enumerate(bands)])).alias("bucket")
     near_by = components(scratch, _edges(spark, probes.select("id", *names, meets), ["bucket"], "id", names, first, block), "probe")
     groups = scratch.table(fps.join(near_by.select(F.col("node").alias("id"), F.col("root").alias("group")), "id"), "groups")
-    roots = components(scratch, _edges(spark, groups, ["group"], "id", ("fp",), radius, block), "wide")
+    # one text of each fingerprint that has met another
+    chosen = scratch.table(groups.select("id", "fp").join(prints.groupBy("fp").agg(F.min("_text").alias("_text")), "fp").select("id", "_text"), "chosen")
+    sets = texts.join(chosen, F.col("_key") == F.col("_text")).select("id", "text").mapInArrow(partial(_hashed, shingle=shingle), "id long, shingles binary")
+    sets = scratch.table(sets.groupBy(F.col("id").alias("s_id")).agg(F.min("shingles").alias("shingles")), "shingles")
+    members = groups.join(sets, F.col("id") == F.col("s_id")).select("id", "fp", "group", "shingles")
+    # members now carry their shingles, so fewer of them make a block
+    roots = components(scratch, _edges(spark, members, ["group"], "id", ("fp",), radius, max(1, block // 4), similarity), "wide")
     return groups.select("fp", "id").join(roots, F.col("id") == F.col("node")).select("fp", "root")
 
 
@@ -294,21 +355,21 @@ def near_dedup(
 ) -> DataFrame:
     """A row per row of docs: doc_id, fingerprint (hexadecimal digits), component_id, kept (one row of a component) and the columns named in keep.
 
-    With ``similarity`` given, fingerprints are wide and link from about that Jaccard similarity of
-    shingle sets on; ``radius`` is not used then.
+    With ``similarity`` given, fingerprints are wide and what they find links at that Jaccard similarity
+    of shingle sets or more; ``radius`` is not used then.
     """
     if not 0 <= radius <= 63:
         raise ValueError("radius must be 0 to 63")
     ship(spark)
     scratch = Scratch(spark, "simhash")
     bits, kind = (64, "long") if similarity is None else (WIDE, "binary")
+    placed = own(docs, "doc_id", "text", *keep).withColumn("_text", F.xxhash64("text"))
     prints = scratch.table(
-        own(docs, "doc_id", "text", *keep)
-        .mapInArrow(partial(_prints, shingle=shingle, bits=bits, keep=keep), f"doc_id long, fp {kind}" + kept_schema(docs, keep))
+        placed.mapInArrow(partial(_prints, shingle=shingle, bits=bits, keep=(*keep, "_text")), f"doc_id long, fp {kind}" + kept_schema(placed, (*keep, "_text")))
         .withColumn("_row", F.monotonically_increasing_id()),
         "prints",
     )
-    roots = link(spark, prints, scratch, radius, block) if similarity is None else link_wide(spark, prints, scratch, similarity, block)
+    roots = link(spark, prints, scratch, radius, block) if similarity is None else link_wide(spark, prints, placed.select(F.col("_text").alias("_key"), "text"), scratch, similarity, shingle, block)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     classes = scratch.table(prints.groupBy("fp").agg(F.min(first).alias("first")), "classes")
     # Only linked fingerprints have another's first row; both sides of each join are written, so a hot root or fingerprint can be split.

@@ -144,15 +144,15 @@ def wide_fingerprint(text, shingle=5, bits=512):
     return int.from_bytes(np.packbits(2 * counts > len(s), bitorder="little").tobytes(), "little")
 
 
-def wide_groups(texts, radius):
-    """Which texts' fingerprints are joined by links of at most radius bits."""
+def wide_groups(texts, radius, similarity=0.8):
+    """Which texts are joined by links: fingerprints of at most radius different bits, and shingles as similar as that."""
     fps = [wide_fingerprint(t) for t in texts]
-    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius]
-    return closure(len(fps), links)
+    near = lambda i, j: fps[i] == fps[j] or (fps[i] ^ fps[j]).bit_count() <= radius and jaccard(texts[i] or "", texts[j] or "") >= similarity
+    return closure(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if near(i, j)])
 
 
 def jaccard(a, b, shingle=5):
-    x, y = ({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (a.lower().split(), b.lower().split()))
+    x, y = ({b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (t.encode().lower().split() for t in (a, b)))
     return len(x & y) / len(x | y)
 
 

@@ -100,6 +100,30 @@ def test_near_copies_are_caught(spark):
     assert len(rows) - len(kept) >= 0.97 * over and not any({a, a + 1}.isdisjoint(kept) for a in range(0, len(rows), 2))
 
 
+def test_near_dedup_verifies(spark):
+    """What goes has a partner of 0.8 or more in the input, on the tables and on chains of edits; all the pairs of a group count."""
+    rng = np.random.default_rng(21)
+    text, rows = [f"w{i}" for i in range(300)], []
+    for i in range(40):  # each a few words further from the first
+        text = list(text)
+        for at in rng.integers(0, 300, 4):
+            text[at] = f"v{i}_{at}"
+        rows.append((i, " ".join(text)))
+    base = [f"u{i}" for i in range(300)]
+    for i in range(60):  # all at about 0.7 from one another: fingerprints alone would link some
+        copy = list(base)
+        for at in rng.choice(300, 5, replace=False):
+            copy[at] = f"c{i}_{at}"
+        rows.append((100 + i, " ".join(copy)))
+    texts = [t for _, t in rows] + [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").distinct().collect()]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA.split(", fp")[0])
+    kept = {r[0] for r in dict(P.STAGES)["near_dedup"](spark, docs, "").collect()}
+    groups = R.wide_groups(texts, simhash.wide_plan(len(texts), 0.8)[2])
+    assert kept == {groups.index(g) for g in groups}
+    gone = [i for i in range(len(texts)) if i not in kept]
+    assert gone and all(max(R.jaccard(texts[i], t) for j, t in enumerate(texts) if j != i) >= 0.8 for i in gone)
+
+
 def test_run(spark, sf):
     """The whole pipeline against its plain version."""
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select(*P.COLUMNS).collect()]
