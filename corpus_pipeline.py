@@ -4,8 +4,8 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 run() applies them to documents, writing each result as Parquet to the shared folder and reading
 it again. All stages but the last return the columns of documents. Rows are told apart by doc_id
 and a digest of the row; rows that repeat each other are counted, so exact dedup keeps one of them.
-Near copies are documents of a Jaccard similarity of about 0.8 or more in five-word shingles; they
-form groups, of which one document stays.
+Near copies are documents of a Jaccard similarity of 0.8 or more in five-word shingles: fingerprints find
+them and the shingles verify them; they form groups, of which one document stays.
 
 Defined results: a null text, an empty one or one without a letter goes in language ID. Nulls in
 other columns are values like any other (a null source is a source of its own, a null doc_id comes
