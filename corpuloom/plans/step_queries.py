@@ -79,7 +79,7 @@ def kernel_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.session import ship
 
     ship(spark)
-    nations = P.table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_regionkey") / 2).alias("b0"), (F.col("n_nationkey") / 20).alias("b1")).limit(1000).toPandas()  # nations
+    nations = P.table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_regionkey") / 2).alias("b0"), (F.col("n_nationkey") / 20).alias("b1")).toPandas()  # one row per nation
 
     def run(parts):
         for pdf in parts:
