@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpuloom.operators import dual, kernel, large_kernel, linear, optimize, sparse_linear
+from corpuloom.operators import crossfeatures, dual, kernel, large_kernel, linear, optimize, sparse_linear
 
 
 def _data(n, features, cells, classes=2, number=False, seed=0):
@@ -255,3 +255,28 @@ def test_large_kernel_classes(spark):
     options = {"gamma": 0.8, "c": 5.0}
     one, many = ({r["id"]: r["pred"] for r in kernel.by_group(spark, df, most=m, working=40, **options).where("pred = pred").collect()} for m in (5000, 10))
     assert np.mean([one[i] == many[i] for i in one if i < 1000]) >= 0.97
+
+
+@pytest.mark.parametrize("loss", crossfeatures.LOSSES)
+def test_cross_folds(spark, two, numbers, loss):
+    """All folds' models at once are the models fitted one by one."""
+    from pyspark.sql import functions as F
+
+    rows, n = (numbers, 9) if loss == "squared_epsilon" else (two, 12)
+    rows = rows.withColumn("fold", (F.abs(F.xxhash64("idx", "val")) % 3).cast("int"))
+    model = crossfeatures.fit(spark, rows, n, 3, loss, c=0.3, tolerance=1e-8)
+    assert model.weights.shape == (3, n + 1) and model.fitted.converged
+    one = linear.fit(spark, rows.where("fold <> 1"), n, loss, c=0.3, solver="newton", tolerance=1e-8)
+    assert model.weights[1] == pytest.approx(one.weights[0], abs=1e-5)
+
+
+def test_feature_groups(spark):
+    """Features that speak for one class in every fold lie apart from those for the other; features without a weight have no group."""
+    rng, rows = np.random.default_rng(6), []
+    for i in range(240):
+        y = i % 2
+        own = rng.choice(4, 2, replace=False) + (0 if y else 4)
+        rows.append((i % 4, float(y), sorted([*own.tolist()]), [1.0, 1.0]))
+    df = spark.createDataFrame(rows, "fold int, y double, idx array<int>, val array<double>")
+    got = {r["id"]: r["cluster"] for r in crossfeatures.groups(spark, df, 10, 4, 2, c=1.0).collect()}
+    assert set(got) == set(range(8)) and len({got[i] for i in range(4)}) == len({got[i] for i in range(4, 8)}) == 1 and got[0] != got[4]
