@@ -35,15 +35,15 @@ def _frames(spark, w, labelled, y, prior):
     return edges, state
 
 
-@pytest.mark.parametrize("rates", [{}, {"alpha": 0.5, "beta": 0.5, "eta": 0.95}])
+@pytest.mark.parametrize("rates", [{}, {"alpha": 0.5, "beta": 0.5, "eta": 0.9}])
 def test_solution(spark, rates):
-    graph = _graph(60, 1)
+    graph = _graph(40, 1)
     edges, state = _frames(spark, *graph)
-    got = T.solve(spark, edges, state, tolerance=1e-9, **rates)
+    got = T.solve(spark, edges, state, tolerance=1e-7, **rates)
     f = {r["id"]: r["f"] for r in got.collect()}
-    assert [f[i] for i in range(60)] == pytest.approx(_dense(*graph, **rates).tolist(), abs=1e-6)
-    assert f[59] == pytest.approx(graph[3][59])  # without a neighbour: the prior
-    assert T.objective_gap(edges, got, state, **rates) < 1e-6
+    assert [f[i] for i in range(40)] == pytest.approx(_dense(*graph, **rates).tolist(), abs=1e-5)
+    assert f[39] == pytest.approx(graph[3][39])  # without a neighbour: the prior
+    assert T.objective_gap(edges, got, state, **rates) < 1e-5
 
 
 @pytest.mark.parametrize("share", [0.0, 1.0])
@@ -51,9 +51,9 @@ def test_all_or_none_labelled(spark, share):
     w, _, y, prior = _graph(20, 2, 0.3)
     labelled = np.full(20, share == 1.0)
     edges, state = _frames(spark, w, labelled, y, prior)
-    f = {r["id"]: r["f"] for r in T.solve(spark, edges, state, tolerance=1e-9).collect()}
-    assert [f[i] for i in range(20)] == pytest.approx(_dense(w, labelled, y, prior).tolist(), abs=1e-6)
-    assert T.solve(spark, edges.limit(0), state, tolerance=1e-9).count() == 20
+    f = {r["id"]: r["f"] for r in T.solve(spark, edges, state, tolerance=1e-7).collect()}
+    assert [f[i] for i in range(20)] == pytest.approx(_dense(w, labelled, y, prior).tolist(), abs=1e-5)
+    assert T.solve(spark, edges.limit(0), state, tolerance=1e-7).count() == 20
 
 
 def test_learn(spark):
