@@ -18,15 +18,28 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("pos", "value"))
 
 
+#: Ending of a folder of packed files (``sinks.packed_files``): Parquet rows of a file's path and content.
+PACKED = ".packed"
+
+
 def directory(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """path, value: the files of a tree by suffix, whole."""
+    """path, value: the files of a tree by suffix, whole; of packed files those rows."""
+    if path.rstrip("/").endswith(PACKED):
+        return spark.read.schema("path string, value string").parquet(path).where(F.col("path").endswith(suffix))
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
     return read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
 def file_id(path: Column) -> Column:
     """A file's name up to its first dot."""
-    return F.url_decode(F.substring_index(F.element_at(F.split(path, "/"), -1), ".", 1))
+    name = F.substring_index(F.element_at(F.split(path, "/"), -1), ".", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))  # a plus in a path is a plus
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The columns, computed once per row: the optimizer would move expressions above a later explode, and a
+    lambda would repeat them per element, which grows with the square of a file."""
+    return rows.select(F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -62,10 +75,11 @@ def _records(files: DataFrame, names: list[str]) -> DataFrame:
     """Files of a header line and records of len(names) lines: owner, record number, one column per name."""
     n = len(names)
     body = F.split(F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", ""), "\n")
-    count = F.floor((F.size(body) - 1) / n).cast("int")
+    cut = once(files, user_id=file_id(F.col("path")), body=body)
+    count = F.floor((F.size("body") - 1) / n).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    record = lambda k: F.struct(*[F.get(body, k * n + 1 + i).alias(name) for i, name in enumerate(names)])
-    return files.select(file_id(F.col("path")).alias("user_id"), F.posexplode(F.transform(starts, record)).alias("rec", "r")).select("user_id", "rec", "r.*")
+    record = lambda k: F.struct(*[F.get("body", k * n + 1 + i).alias(name) for i, name in enumerate(names)])
+    return cut.select("user_id", F.posexplode(F.transform(starts, record)).alias("rec", "r")).select("user_id", "rec", "r.*")
 
 
 def user_reviews(spark: SparkSession, path: str, suffix: str = ".txt", least: int = 2) -> DataFrame:
@@ -170,7 +184,8 @@ def json_reviews(spark: SparkSession, path: str, array: str = "Reviews", product
     """
     files = directory(spark, path, suffix)
     item = F.get_json_object("value", f"$.{product}") if product else file_id(F.col("path"))
-    rows = files.select(item.alias("item_id"), F.explode(F.from_json(F.get_json_object("value", f"$.{array}"), f"array<{_REVIEW}>")).alias("r"))
+    parsed = once(files, item_id=item, reviews=F.from_json(F.get_json_object("value", f"$.{array}"), f"array<{_REVIEW}>"))
+    rows = parsed.select("item_id", F.explode("reviews").alias("r"))
     day = F.coalesce(*[F.try_to_timestamp("r.Date", F.lit(f)) for f in (date_format, "MMM d, yyyy", "yyyy-MM-dd")])
     cut = rows.select(
         "item_id", F.col("r.ReviewID").alias("review_id"), F.col("r.Author").alias("user_id"), F.col("r.Title").alias("title"), F.col("r.Content").alias("text"),

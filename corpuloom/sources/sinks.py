@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuloom.functions.arrays import libsvm_row
+from corpuloom.sources.files import PACKED
 
 
 def text(rows: DataFrame, line: Column, path: str, order: list[str] | None = None) -> None:
@@ -18,7 +19,7 @@ def named_files(rows: DataFrame, name: str, content: str, path: str, suffix: str
     """A file per row, named by it: what formats of one file per user or item ask for.
 
     Tasks write the files into folders of their own in the same place; the driver then renames
-    one after the other, which no writer of Spark can do, so this is for as many files as a folder may hold.
+    one after the other, which no writer of Spark can do, so this is for few files; ``packed_files`` takes any number.
     """
     spark = rows.sparkSession
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
@@ -35,6 +36,19 @@ def named_files(rows: DataFrame, name: str, content: str, path: str, suffix: str
     fs.delete(hadoop.Path(f"{path}/_parts"), True)
 
 
+def packed_files(rows: DataFrame, name: str, content: str, path: str, suffix: str = ".txt") -> str:
+    """What ``named_files`` writes, packed as rows of path and content; returns the folder, which ``files.directory`` takes.
+
+    For any number of files: each one of its own costs a creation, a rename and a place in a listing, which
+    at some hundred thousand is most of the time.
+    """
+    packed = f"{path.rstrip('/')}{PACKED}"
+    file = F.concat(F.replace(F.url_encode(F.col(name).cast("string")), F.lit("+"), F.lit("%20")), F.lit(suffix))
+    whole = rows.groupBy(file.alias("path")).agg(F.first(content).alias("value"))
+    whole.write.mode("overwrite").parquet(packed)
+    return packed
+
+
 def fields(*columns: str | Column, sep: str = "\t") -> Column:
     return F.concat_ws(sep, *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
 

@@ -176,3 +176,27 @@ def test_streaming(spark, tmp_path, sf):
     want = C.term_counts(C.tokens(docs.where("doc_id <= 80").select("doc_id", "text")))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == want.count() and got.agg(F.sum("tf")).first() == want.agg(F.sum("tf")).first()
+
+
+def test_packed_files(spark, tmp_path):
+    """A file per owner, whatever its name, in no more files than tasks; of another suffix none is read."""
+    names = ["a b", "x+y", "c%d:e", "u/v", "ü"]
+    whole = spark.createDataFrame([(n, f"{i},1") for i, n in enumerate(names)], "k string, v string")
+    path = sinks.packed_files(whole, "k", "v", str(tmp_path / "owners"), ".weights")
+    assert rows(files.user_weights(spark, path, "weights", 1), "w") == [(n, [float(i), 1.0]) for i, n in enumerate(names)]
+    assert files.directory(spark, path).count() == 0
+
+
+def test_long_files(spark, tmp_path):
+    """Files of many records are cut once, not once per record."""
+    import json
+    import time
+
+    n = 20_000
+    (tmp_path / "u.txt").write_text("name\n" + "".join(f"item{i}\ntext\ncat\n{i % 2 * 4 + 1}\n{i}\n" for i in range(n)))
+    (tmp_path / "p.json").write_text(json.dumps({"asin": "p", "Reviews": [{"Overall": "5", "Date": "2020-01-01", "Content": "c", "Title": "t", "ReviewID": str(i)} for i in range(n)]}))
+    begun = time.time()
+    assert files.user_reviews(spark, str(tmp_path)).agg(F.count("item_id"), F.max("ord")).first()[:] == (n, n - 1)
+    got = files.titled(files.json_reviews(spark, str(tmp_path), product="asin")).select("item_id", "review_id", "text", "y")
+    assert got.agg(F.countDistinct("review_id"), F.min("item_id"), F.max("text")).first()[:] == (n, "p", "t. c")
+    assert time.time() - begun < 60
