@@ -462,3 +462,27 @@ def test_embedding_fit(spark, docs):
     assert held.count() == 10 and topics.perplexity(held).first()["perplexity"] > 1
     whole = embedding.fit(spark, owned.where("doc_id < 30"), edges, 20, embedding.Params(**{**params.__dict__, "block": 100}))
     assert fitted.state.history[-1] == pytest.approx(whole.state.history[-1], rel=0.2)  # blocks change the start and the stopping test only
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    """Pairs of several blocks, against all pairs by hand; nothing of their number is shuffled."""
+    from corpuloom.operators import similarity
+
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(similarity, "MATCHES", 5)
+    x = np.random.default_rng(3).random((40, 12)) * (np.random.default_rng(4).random((40, 12)) < 0.2)
+    vectors = spark.createDataFrame([(i, f"t{j}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row) if v], "doc_id long, term string, w double")
+    queries = vectors.where("doc_id % 3 = 0")
+    met = {(q, d): (x[q] > 0) & (x[d] > 0) for q in range(0, 40, 3) for d in range(40) if q != d}
+    met = {p: m for p, m in met.items() if m.any()}
+    norm, n = np.sqrt((x**2).sum(1)), (x > 0).sum(1)
+    want = {
+        "cosine": {(q, d): x[q] @ x[d] / norm[q] / norm[d] for q, d in met},
+        "jaccard": {(q, d): m.sum() / (n[q] + n[d] - m.sum()) for (q, d), m in met.items()},
+        "rbf": {(q, d): np.exp(-((x[q] - x[d])[m] ** 2).sum() / 0.5) for (q, d), m in met.items()},
+    }
+    got = {"cosine": similarity.cosine_pairs(queries, vectors), "jaccard": similarity.jaccard_pairs(queries, vectors), "rbf": similarity.rbf_pairs(queries, vectors, 0.5)}
+    for name, pairs in got.items():
+        assert {(r["q"], r["d"]): pytest.approx(r["sim"]) for r in pairs.collect()} == want[name]
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and "Exchange hashpartitioning" not in plan
