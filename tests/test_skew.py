@@ -20,3 +20,15 @@ def test_hot_term(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(reverse(term" in plan and "hashpartitioning(reverse(_term" in plan
     assert n == counts.count() and df["the"] == 20_000 and len(df) == 978
+
+
+def test_dealt_by_size(spark, tmp_path):
+    """Heavy work gets tasks by the size of its input, also where that lies in one row group."""
+    from corpuloom.session import TASK_BYTES, dealt
+
+    path = str(tmp_path / "one")
+    spark.range(0, 2_000_000, numPartitions=1).selectExpr("id", "xxhash64(id) AS h").write.parquet(path)
+    df = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "one").glob("part-*"))
+    assert size > 8 * TASK_BYTES and dealt(df).rdd.getNumPartitions() >= size // TASK_BYTES
+    assert dealt(df).count() == 2_000_000
