@@ -99,6 +99,18 @@ def test_forward_backward_and_viterbi():
     assert topic.sum(1) == pytest.approx(np.ones(4)) and 0 <= changed.max() <= 1
 
 
+def test_sentences_of_a_later_slice():
+    """A slice that begins after documents with sentences has its own ones."""
+    import pyarrow as pa
+
+    docs = [[{"idx": [d, d + 1], "tf": [1.0, float(d)]}] * (d % 3) for d in range(9)]
+    column = pa.array(docs, pa.list_(pa.struct([("idx", pa.list_(pa.int32())), ("tf", pa.list_(pa.float64()))])))
+    for at in range(9):
+        s, want = H.Sentences.of(column[at : at + 4]), [x for d in docs[at : at + 4] for x in d]
+        assert s.sizes.tolist() == [len(d) for d in docs[at : at + 4]]
+        assert s.idx.tolist() == [i for x in want for i in x["idx"]] and s.tf.tolist() == [t for x in want for t in x["tf"]]
+
+
 @pytest.mark.parametrize("sentiment", [False, True])
 def test_sequences_in_batches(sentiment):
     """All documents at once give what one after the other gives."""
