@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuloom.functions import text as X
@@ -11,6 +11,7 @@ from corpuloom.operators import weighting as W
 from corpuloom.plans import common as P
 from corpuloom.plans.common import r6
 from corpuloom.plans.registry import query
+from corpuloom.session import Scratch
 
 
 @query(f"""WITH {P.STATS}, w AS (SELECT doc_id, term, tf::DOUBLE / len * ln((n + 1) / df::DOUBLE) AS w FROM st),
@@ -19,7 +20,7 @@ rk AS (SELECT doc_id, term, round(w, 6) AS weight, row_number() OVER (PARTITION
 SELECT doc_id, term, weight, rank FROM rk WHERE rank <= 10""")
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its ten best terms by L2-normalized TF-IDF."""
-    w = W.weighted(P.counts(spark, sf_dir), "tfidf", norm=2)
+    w = W.weighted(P.counts(spark, sf_dir, lengths=True), "tfidf", norm=2)
     return C.top(w.select("doc_id", "term", r6("w", "weight")), "doc_id", F.col("weight"), "term", 10)
 
 
@@ -48,7 +49,7 @@ UNION ALL SELECT doc_id, before2 || '-' || before || '-' || tok FROM prev WHERE
 SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY term""")
 def ngram_trigrams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uni- to trigrams, all parts legitimate, counted over the corpus."""
-    grams = C.term_counts(P.tokens(spark, sf_dir), 3, P.STOPWORDS, mode="all")
+    grams = C.text_counts(P.table(spark, sf_dir, "documents"), 3, P.STOPWORDS, mode="all")
     return grams.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
@@ -72,10 +73,7 @@ ok AS (SELECT doc_id FROM ks GROUP BY doc_id HAVING count(DISTINCT stn) >= 2 AND
 @query(f"WITH {_SENT} SELECT doc_id, count(DISTINCT stn) AS n_sentences, sum(tf)::BIGINT AS n_words FROM ks WHERE doc_id IN (SELECT doc_id FROM ok) GROUP BY doc_id")
 def sentence_admission_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences end at punctuation; those of more than two features count."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = P.tokens(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-    cut = placed.withColumn("stn", F.coalesce(F.count(F.when(F.col("term") == "", 1)).over(w), F.lit(0)))
-    counts = cut.where(X.is_legit(F.col("term"), P.STOPWORDS)).groupBy("doc_id", "stn", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = P.sentence_counts(spark, sf_dir)
     return C.sentences_admitted(counts).groupBy("doc_id").agg(F.countDistinct("stn").alias("n_sentences"), F.sum("tf").alias("n_words"))
 
 
@@ -136,7 +134,7 @@ _W = {
 
 
 def _weights(spark: SparkSession, sf_dir: str, scheme: str, norm: int = 0) -> DataFrame:
-    return W.weighted(P.counts(spark, sf_dir), scheme, norm).select("doc_id", "term", r6("w", "w"))
+    return W.weighted(P.counts(spark, sf_dir, lengths=True), scheme, norm).select("doc_id", "term", r6("w", "w"))
 
 
 @query(f"WITH {P.STATS} SELECT doc_id, term, round({_W['tfidf']}, 6) AS w FROM st")
@@ -171,15 +169,19 @@ def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {P.STATS} SELECT doc_id, round(avg(ln((n + 1) / df::DOUBLE)), 6) AS avg_idf FROM st GROUP BY doc_id")
 def avg_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.average_idf(P.counts(spark, sf_dir)).select("doc_id", r6("avg_idf", "avg_idf"))
+    return W.average_idf(P.counts(spark, sf_dir, lengths=True)).select("doc_id", r6("avg_idf", "avg_idf"))
 
 
 # Selection
 
 
-def _scored(spark: SparkSession, sf_dir: str, selector: str, min_df: int = 0, max_df: int = 0) -> DataFrame:
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.class_stats(P.counts(spark, sf_dir), P.labels(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str, selector: str, min_df: int = 0, max_df: int = 0, stats: DataFrame | None = None) -> DataFrame:
     labels = P.labels(spark, sf_dir)
-    stats = C.class_stats(P.counts(spark, sf_dir), labels)
+    stats = _stats(spark, sf_dir) if stats is None else stats
     known = labels.join(P.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
     sizes = known.agg(*[F.count(F.when(F.col("y") == c, 1)).alias(f"n_{c}") for c in (0, 1)])
     return W.scored(stats, sizes, selector, min_df, max_df)
@@ -238,7 +240,8 @@ a AS (SELECT term, percent_rank() OVER (ORDER BY round(score, 6) DESC, term) AS
 b AS (SELECT term, percent_rank() OVER (ORDER BY round(score, 6) DESC, term) AS place FROM igs WHERE df > 2)
 SELECT term, round(min(place), 6) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY term ORDER BY min(place), term LIMIT 100""")
 def fs_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (_scored(spark, sf_dir, s, 2).select("term", r6("score", "score")) for s in ("CHI", "IG"))
+    stats = Scratch(spark, "union").table(_stats(spark, sf_dir), "stats")  # of both selections
+    a, b = (_scored(spark, sf_dir, s, 2, stats=stats).select("term", r6("score", "score")) for s in ("CHI", "IG"))
     return W.union_best(a, b, 100).select("term", r6("place", "place"))
 
 
