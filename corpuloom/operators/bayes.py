@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuloom.session import Scratch
 
 
-def train(counts: DataFrame, weights: DataFrame, delta: float = 0.1, prior_delta: float = 0.0, presence: bool = False) -> tuple[DataFrame, DataFrame]:
-    """counts (doc_id, term, tf), weights (doc_id, y, q): a document's share of each class.
+def _classes(*rows: DataFrame) -> list:
+    """The classes that rows have, in order."""
+    return sorted({r["y"] for x in rows for r in x.select("y").where("y is not null").distinct().collect()})  # a row per class
+
+
+def _exploded(classes: list, y: T.DataType, *names: str) -> Column:
+    """Columns name0, name1, ... of the classes as rows of y and names."""
+    return F.explode(F.array(*[F.struct(F.lit(c).cast(y).alias("y"), *[F.col(f"_{n}{i}").alias(n) for n in names]) for i, c in enumerate(classes)]))
+
+
+def train(
+    counts: DataFrame, weights: DataFrame, delta: float = 0.1, prior_delta: float = 0.0, presence: bool = False, classes: list | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """counts (doc_id, term, tf), weights (doc_id, y, q): a document's share of each class; classes: those of the weights, if known.
 
     Returns (y, log_prior): ln(sum q + prior_delta), not normalized; and (y, term, log_p):
     ln(delta + c) - ln(sum c + V delta) for terms seen in training, with a row of term null for
     those a class hasn't got.
+
+    Classes lie side by side, so no row per class is made of the counts, and the sums per term are written once.
     """
     value = F.lit(1.0) if presence else F.col("tf").cast("double")
+    classes = _classes(weights) if classes is None else classes
+    kind = weights.schema["y"].dataType
     priors = weights.groupBy("y").agg(F.ln(F.sum("q") + prior_delta).alias("log_prior"))
+    shares = weights.groupBy("doc_id").agg(*[F.sum(F.when(F.col("y") == c, F.col("q"))).alias(f"_q{i}") for i, c in enumerate(classes)])
     # Soft counts come from weights with every class, so all terms meet all classes.
-    sums = counts.join(weights, "doc_id").groupBy("y", "term").agg(F.sum(value * F.col("q")).alias("c"))
-    terms = counts.join(weights.select("doc_id").distinct(), "doc_id", "left_semi").select("term").distinct()
-    size = terms.agg(F.count(F.lit(1)).alias("v"))
+    each = counts.join(shares.hint("shuffle_hash"), "doc_id").groupBy("term").agg(*[F.sum(value * F.col(f"_q{i}")).alias(f"_c{i}") for i in range(len(classes))])
+    each = Scratch(counts.sparkSession, "nbsums").table(each, "terms")
+    sums = each.select("term", _exploded(classes, kind, "c").alias("x")).select("x.y", "term", "x.c").where("c is not null")
+    size = each.agg(F.count(F.lit(1)).alias("v"))
     totals = sums.groupBy("y").agg(F.sum("c").alias("total")).crossJoin(F.broadcast(size))
     denominators = totals.select("y", (F.ln(F.col("total") + F.col("v") * delta)).alias("log_total"))
-    seen = sums.join(denominators, "y").select("y", "term", (F.ln(F.lit(delta) + F.col("c")) - F.col("log_total")).alias("log_p"))
+    seen = sums.join(F.broadcast(denominators), "y").select("y", "term", (F.ln(F.lit(delta) + F.col("c")) - F.col("log_total")).alias("log_p"))  # a row per class
     unseen = denominators.select("y", F.lit(None).cast("string").alias("term"), (F.ln(F.lit(delta)) - F.col("log_total")).alias("log_p"))
     return priors, seen.unionByName(unseen)
 
@@ -31,20 +50,21 @@ def train(counts: DataFrame, weights: DataFrame, delta: float = 0.1, prior_delta
 def scores(counts: DataFrame, model: tuple[DataFrame, DataFrame], presence: bool = False) -> DataFrame:
     """doc_id, y, log_joint, posterior. Terms outside the training vocabulary don't count.
 
-    Terms are joined once: a term's missing classes are filled from the class's default through
-    the sum over its default and what seen terms differ from it.
+    Terms are joined once, all classes of a term in a row: a term's missing classes are filled from the class's default
+    through the sum over its default and what seen terms differ from it.
     """
     priors, terms = model
     defaults = terms.where(F.col("term").isNull()).select("y", F.col("log_p").alias("default"))
     seen = terms.where(F.col("term").isNotNull())
-    known = seen.select("term").distinct()
+    classes, kind = _classes(priors), priors.schema["y"].dataType
+    places = range(len(classes))
     value = F.lit(1.0) if presence else F.col("tf").cast("double")
-    inside = counts.join(known, "term", "left_semi")
-    sizes = inside.groupBy("doc_id").agg(F.sum(value).alias("len"))
-    lifts = inside.join(seen.join(defaults, "y"), "term").groupBy("doc_id", "y").agg(F.sum(value * (F.col("log_p") - F.col("default"))).alias("lift"))
-    classes = priors.join(defaults, "y")  # a row per class
-    base = counts.select("doc_id").distinct().join(sizes, "doc_id", "left").crossJoin(F.broadcast(classes))
-    joint = base.join(lifts, ["doc_id", "y"], "left").select(
+    lift = F.col("log_p") - F.col("default")
+    known = seen.join(F.broadcast(defaults), "y").groupBy("term").agg(*[F.sum(F.when(F.col("y") == c, lift)).alias(f"_w{i}") for i, c in enumerate(classes)])
+    inside = counts.join(known.hint("shuffle_hash"), "term")
+    sums = inside.groupBy("doc_id").agg(F.sum(value).alias("len"), *[F.sum(value * F.col(f"_w{i}")).alias(f"_lift{i}") for i in places])
+    base = counts.select("doc_id").distinct().join(sums.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "len", _exploded(classes, kind, "lift").alias("x"))
+    joint = base.select("doc_id", "len", "x.y", "x.lift").join(F.broadcast(priors.join(defaults, "y")), "y").select(  # a row per class
         "doc_id", "y", (F.col("log_prior") + F.coalesce("len", F.lit(0.0)) * F.col("default") + F.coalesce("lift", F.lit(0.0))).alias("log_joint")
     )
     per = Window.partitionBy("doc_id")
@@ -64,13 +84,12 @@ def em_step(counts: DataFrame, labelled: DataFrame, model: tuple[DataFrame, Data
     hard = labelled.select("doc_id", "y", F.lit(1.0).alias("q"))
     open_counts = counts.join(labelled.select("doc_id"), "doc_id", "left_anti")
     soft = scores(open_counts, model).select("doc_id", "y", F.col("posterior").alias("q"))
-    return train(counts, hard.unionByName(soft), delta, prior_delta)
+    return train(counts, hard.unionByName(soft), delta, prior_delta, classes=_classes(hard, model[0]))
 
 
 def semi_supervised(spark: SparkSession, counts: DataFrame, labelled: DataFrame, most: int = 50, tolerance: float = 1e-5, delta: float = 0.1, prior_delta: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """EM from the labelled documents on; stops when the unlabelled ones' likelihood settles."""
     scratch = Scratch(spark, "nbem")
-    counts = scratch.table(counts, "counts")
     hard = labelled.select("doc_id", "y", F.lit(1.0).alias("q"))
     kept = lambda m, k: (scratch.table(m[0], f"priors-{k}"), scratch.table(m[1], f"terms-{k}"))
     model = kept(train(counts.join(labelled.select("doc_id"), "doc_id", "left_semi"), hard, delta, prior_delta), 0)
