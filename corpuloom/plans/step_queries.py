@@ -42,10 +42,12 @@ def lda_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import topics as M
     from corpuloom.plans.model_queries import corpus
 
-    docs, _, size = corpus(spark, sf_dir)
-    beta = _beta(3, size)
-    model = M.Model(beta, np.full(size, 1 / size), np.full(3, 0.5))
-    theta = M.infer(spark, docs.where(F.size("idx") > 0), model, "lda", rounds=2)
+    docs, _, size = corpus(spark, sf_dir, most=None)
+    held = np.array([len(range(r, size, 7)) for r in range(7)])  # places by remainder
+    totals = [float(held @ (1 + np.arange(7) * (k + 1) % 7)) for k in range(3)]
+    chances = F.flatten(F.transform("idx", lambda i: F.array(*[(1 + (i.cast("long") * (k + 1)) % 7) / t for k, t in enumerate(totals)])))
+    model = M.Model(np.zeros((3, 0)), np.zeros(0), np.full(3, 0.5))
+    theta = M.infer(spark, docs.where(F.size("idx") > 0).withColumn("beta", chances), model, "lda", rounds=2)
     return theta.select("doc_id", F.posexplode("theta").alias("topic", "share")).select("doc_id", "topic", r6("share", "share"))
 
 
