@@ -221,18 +221,20 @@ def _total(state: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 def fit(
     spark: SparkSession, rows: DataFrame, features: int, loss: str = "hinge", c: float = 1.0, epsilon: float = 0.1, rounds: int = 200, tolerance: float = 1e-3,
-    epochs: int = 2, class_weights: dict | None = None, corners: tuple[float, ...] = CORNERS,
+    epochs: int = 2, class_weights: dict | None = None, corners: tuple[float, ...] = CORNERS, merge: bool = False,
 ) -> Linear:
     """1/2 |w|^2 + C sum of losses (y, idx without repeats, val, weight optional) until the gap to the dual is ``tolerance`` of the value.
 
     fitted.gap is that gap, fitted.rounds the rounds in the dual, fitted.passes all passes over the rows. corners: by how
-    much the start rounds the losses off, one fit after the other; none for a start from zero.
+    much the start rounds the losses off, one fit after the other; none for a start from zero. merge: see linear.merged(), a
+    row's limit is C times its weight.
     """
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     ship(spark)
     data, classes, outputs = prepared(rows, features, loss, class_weights)
     scratch = Scratch(spark, "dual")
+    data = scratch.table(L.merged(data), "merged") if merge else data
     state, name = scratch.table(spread(data).mapInArrow(partial(_packed, outputs=outputs, c=c), STATE), "state"), "state"
     shape = (outputs, features + 1)
     w, step, share, value, gap = np.zeros(shape), 0.0, 1.0, 0.0, np.inf
@@ -265,7 +267,7 @@ def fit(
         w = w + step * along
         # tasks that overshoot together allow for one another in the next round
         share = min(max(1.0, tasks), share / max(step, 0.1)) if step < 0.9 else max(1.0, share * 0.8)
-    scratch.drop(name)
+    scratch.drop(name, *(["merged"] if merge else []))
     return Linear(w, classes, loss, Result(w.ravel(), float(value), r + 1, bool(done), passes[0] + r + 1, float(gap)))
 
 

@@ -84,7 +84,7 @@ def newton_solvers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.operators import linear as L
 
     rows, n = _lines(spark, sf_dir)
-    fits = [(loss, L.fit(spark, rows.withColumnRenamed("number" if loss in L.REGRESSION else "sign", "y"), 2, loss, c=1000 / n, solver="newton", tolerance=1e-9)) for loss in ("logistic", "squared_hinge", "squared_epsilon")]
+    fits = [(loss, L.fit(spark, rows.withColumnRenamed("number" if loss in L.REGRESSION else "sign", "y"), 2, loss, c=1000 / n, solver="newton", tolerance=1e-9, merge=True)) for loss in ("logistic", "squared_hinge", "squared_epsilon")]
     return _told(spark, [(loss, m.weights[0].tolist()) for loss, m in fits])
 
 
@@ -135,7 +135,7 @@ def dual_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for loss in ("hinge", "epsilon", "crammer_singer"):
         data = rows.withColumnRenamed("number" if loss == "epsilon" else "sign", "y")
-        m = D.fit(spark, data, 2, loss, c=(500 if loss == "crammer_singer" else 1000) / n, tolerance=1e-4)
+        m = D.fit(spark, data, 2, loss, c=(500 if loss == "crammer_singer" else 1000) / n, tolerance=1e-4, merge=True)
         out.append((loss, round(m.fitted.value / 1000, 3), m.fitted.converged))
     return spark.createDataFrame(out, "loss string, value double, closed boolean")
 
