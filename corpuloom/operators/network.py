@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuloom.operators.ranking import global_rank
@@ -62,6 +62,10 @@ def edge_folds(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return folded.unionByName(folded.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "fold"))
 
 
+#: Draws of a task of non_neighbours(), about.
+DRAWS = 2_000_000
+
+
 def non_neighbours(edges: DataFrame, users: DataFrame, times: int = 2, seed: int = 0, tries: int = 8, user: str = "user_id") -> DataFrame:
     """Per user ``times`` * degree users that are neither themselves nor neighbours, or all of those where there are fewer.
 
@@ -69,32 +73,48 @@ def non_neighbours(edges: DataFrame, users: DataFrame, times: int = 2, seed: int
     edges are taken out by an anti join, so all pairs of users are never made; users whose candidates
     run short draw on. A user who wants more than half of the strangers there are goes through all
     users instead, in order of a hash: those are at most 2 * times + 1 for each of its edges.
+
+    Draws stay in the task that makes them, where the first want + degree different ones of a user are kept:
+    no more than degree of them can be friends. So what is shuffled is a few rows per edge, and no table is
+    broadcast: edges and users grow with the input, and files of ranks look far smaller than they are.
     """
-    ranked = global_rank(users.select(F.col(user).alias("_u")).distinct(), ["_u"], "_r")
-    scratch = Scratch(edges.sparkSession, "strangers")
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "strangers")
+    ranked = scratch.table(global_rank(users.select(F.col(user).alias("_u")).distinct(), ["_u"], "_r"), "ranked")
     n = ranked.count()
+    known = scratch.table(edges.select("src", "dst").distinct(), "known")
     want = degrees(edges).withColumn("_all", n - 1 - F.col("degree")).withColumn("want", F.least(F.col("degree") * times, F.col("_all")))
-    want = scratch.table(want.where("want > 0").select("src", "want", (F.col("want") * 2 > F.col("_all")).alias("_dense")), "want")
-    known = edges.select("src", "dst").distinct()
-
-    def strangers(drawn: DataFrame) -> DataFrame:
-        """src, _r, want, _order -> the first ``want`` strangers of each src."""
-        found = drawn.join(ranked, "_r").where(F.col("src") != F.col("_u")).groupBy("src", F.col("_u").alias("dst")).agg(F.min("_order").alias("_order"), F.first("want").alias("want"))
-        at = F.row_number().over(Window.partitionBy("src").orderBy("_order", "dst"))
-        return found.join(known, ["src", "dst"], "left_anti").withColumn("_at", at).where(F.col("_at") <= F.col("want")).select("src", "dst", "want")
-
-    every = want.where("_dense").select("src", "want", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))).alias("_r"))
-    out = strangers(every.withColumn("_order", hashed("src", "_r", seed=seed))).select("src", "dst")
-    left, reach = want.where(~F.col("_dense")).select("src", "want"), tries
+    own = ranked.select(F.col("_u").alias("src"), F.col("_r").alias("_own")).hint("merge")
+    want = want.where("want > 0").join(own, "src", "left").select("src", "want", "_own", (F.col("want") + F.col("degree")).alias("_first"), (F.col("want") * 2 > F.col("_all")).alias("_dense"))
+    want = scratch.table(want, "want")
+    friends = known.join(ranked.select(F.col("_u").alias("dst"), "_r").hint("merge"), "dst").select("src", "_r")
+    friends = scratch.table(friends, "friends")
+    by_order = Window.partitionBy("src").orderBy("_order", "_r")  # ranks are in order of the users
+
+    def strangers(rows: DataFrame, draws: Column, drawn) -> DataFrame:
+        """The first ``want`` strangers of each src of rows, by draws (an array) that become ranks and orders: src, want, _r."""
+        made = rows.agg(F.sum(F.size(draws).cast("long"))).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, -(-made // DRAWS))
+        each = rows.repartition(tasks, "src").select("src", "want", "_own", "_first", F.explode(draws).alias("_draw"))
+        each = drawn(each).where(~F.col("_r").eqNullSafe(F.col("_own")))
+        first = each.groupBy("src", "_r").agg(F.min("_order").alias("_order"), F.first("want").alias("want"), F.first("_first").alias("_first"))
+        first = first.withColumn("_at", F.row_number().over(by_order)).where(F.col("_at") <= F.col("_first"))
+        found = first.join(friends.hint("merge"), ["src", "_r"], "left_anti")
+        return found.withColumn("_at", F.row_number().over(by_order)).where(F.col("_at") <= F.col("want")).select("src", "want", "_r")
+
+    ranks = F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))
+    out = strangers(want.where("_dense"), ranks, lambda d: d.withColumnRenamed("_draw", "_r").withColumn("_order", hashed("src", "_r", seed=seed))).select("src", "_r")
+    left, reach = want.where(~F.col("_dense")), tries
     while n:  # every pass draws again from the first try, twice as far
-        draws = left.select("src", "want", F.explode(F.sequence(F.lit(1).cast("long"), F.col("want") * reach)).alias("try"))
-        got = scratch.table(strangers(draws.withColumn("_r", hashed("src", "try", seed=seed) % n).withColumnRenamed("try", "_order")), f"drawn-{reach}")
-        full = got.groupBy("src").agg(F.count(F.lit(1)).alias("_have"), F.first("want").alias("_want")).where(F.col("_have") == F.col("_want")).select("src")
-        out = out.unionByName(got.join(full, "src", "left_semi").select("src", "dst"))
+        draws = F.sequence(F.lit(1).cast("long"), F.col("want") * reach)
+        got = strangers(left, draws, lambda d: d.withColumn("_r", hashed("src", "_draw", seed=seed) % n).withColumnRenamed("_draw", "_order"))
+        got = scratch.table(got, f"drawn-{reach}")
+        full = got.groupBy("src").agg(F.count(F.lit(1)).alias("_have"), F.first("want").alias("_want")).where(F.col("_have") == F.col("_want")).select("src").hint("merge")
+        out = out.unionByName(got.join(full, "src", "left_semi").select("src", "_r"))
         left, reach = scratch.table(left.join(full, "src", "left_anti"), f"left-{reach}"), reach * 2
         if not left.limit(1).count():
             break
-    return out
+    return out.join(ranked.hint("merge"), "_r").select("src", F.col("_u").alias("dst"))
 
 
 def answers(posts: DataFrame) -> DataFrame:

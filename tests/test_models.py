@@ -218,6 +218,22 @@ def test_strangers(spark):
         assert len(found[u]) == len(set(found[u])) == min(2 * len(f), 11 - len(f)) and not set(found[u]) & (f | {u})
 
 
+def test_strangers_without_broadcasts(spark, monkeypatch):
+    """Neither users nor edges are sent whole, and draws are not shuffled: each user's are cut to want + degree before."""
+    users = spark.range(300).select(F.col("id").alias("user_id"))
+    edges = spark.range(300).select(F.col("id").alias("src"), F.explode(F.array(*[(F.col("id") + i) % 300 for i in (1, 2, 298, 299)])).alias("dst"))
+    plans = []
+    real = network.Scratch.table
+    monkeypatch.setattr(network.Scratch, "table", lambda self, df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(self, df, name))[1])
+    got = network.non_neighbours(edges, users, 2)
+    plans.append(("out", got._jdf.queryExecution().executedPlan().toString()))
+    assert not [name for name, plan in plans if "BroadcastHashJoin" in plan and name != "ranked"]  # ranked: a row per range
+    drawn = dict(plans)["drawn-8"]
+    assert drawn.index("LeftAnti") < drawn.rindex("Window") < drawn.index("Generate") and "Exchange" not in drawn[drawn.rindex("Window") : drawn.index("Generate")]
+    found = [(r["src"], r["dst"]) for r in got.collect()]
+    assert len(found) == len(set(found)) == 300 * 8 and all(2 < (b - a) % 300 < 298 for a, b in found)
+
+
 def test_hidden_topic_fit(spark):
     rng = np.random.default_rng(2)
     rows = []
