@@ -60,3 +60,20 @@ def test_equal_rows_are_one(spark):
     assert one == pytest.approx(all_, abs=1e-6)
     one, all_ = (dual.fit(spark, data, 2, "hinge", c=0.1, tolerance=1e-4, merge=m).fitted for m in (True, False))
     assert one.converged and one.value == pytest.approx(all_.value, rel=2e-4)
+
+
+def test_rounds_shuffle_no_document(spark, monkeypatch):
+    """From the second round on documents meet their states in the buckets where both lie; nothing is left in the catalog."""
+    rng = np.random.default_rng(5)
+    rows = [(d, sorted(rng.choice(9, d % 4 + 1, replace=False).tolist()), [1.0] * (d % 4 + 1)) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, idx array<int>, tf array<double>")
+    plans, real = {}, topics.Scratch.bucketed
+
+    def seen(self, df, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(self, df, name, *rest)
+
+    monkeypatch.setattr(topics.Scratch, "bucketed", seen)
+    _, theta = topics.fit(spark, docs, topics.start(2, 9, alpha=1.1), "lda", rounds=2, tolerance=0)
+    assert "Join" in plans["round-1"] and "Exchange" not in plans["round-1"]
+    assert theta.count() == 40 and not [t for t in spark.catalog.listTables() if "topics" in t.name]
