@@ -77,3 +77,26 @@ def test_rounds_shuffle_no_document(spark, monkeypatch):
     _, theta = topics.fit(spark, docs, topics.start(2, 9, alpha=1.1), "lda", rounds=2, tolerance=0)
     assert "Join" in plans["round-1"] and "Exchange" not in plans["round-1"]
     assert theta.count() == 40 and not [t for t in spark.catalog.listTables() if "topics" in t.name]
+
+
+def test_gradients_come_as_arrays(spark, monkeypatch):
+    """A partition gives a row per output and one for the value, whatever the number of weights, and there are few partitions."""
+    rows = spark.range(0, 600, 1, 50).selectExpr("cast(id % 2 as double) AS y", "array(cast(id % 300 as int), 300) AS idx", "array(1.0D, 0.5D) AS val")
+    seen, real = [], linear.objective
+
+    def kept(data, shape, *rest, **more):
+        seen.append((data.rdd.getNumPartitions(), shape))
+        return real(data, shape, *rest, **more)
+
+    monkeypatch.setattr(linear, "objective", kept)
+    model = linear.fit(spark, rows, 301, "multinomial", c=0.1, rounds=3)
+    assert seen == [(linear.PARTS * spark.sparkContext.defaultParallelism, (2, 302))] and model.weights.shape == (2, 302)
+    data, classes, outputs = linear.prepared(rows, 301, "multinomial")
+    batches = data.toArrow().to_batches()
+    w = np.random.default_rng(0).normal(0, 0.1, (outputs, 302))
+    made = [b for b in linear._gradient(iter(batches), w, "multinomial", 0.1)]
+    assert [b.num_rows for b in made] == [3]
+    value, grad = real(data, w.shape, "multinomial", 1.0, 0.1)(w.ravel())
+    k, g = made[0].columns
+    assert k.to_pylist() == [-1, 0, 1] and value == pytest.approx(0.5 * (w * w).sum() + g[0].as_py()[0])
+    assert grad == pytest.approx(w.ravel() + np.array(g[1].as_py() + g[2].as_py()))
