@@ -5,6 +5,8 @@ optimality most make a working set, whose small problem one task solves by seque
 and every row then adds the change's kernel values to its own gradient. Rows and gradients stay distributed,
 in a state table that each round writes anew; a round moves one working set. A machine ends where no pair of
 variables violates optimality by more than the tolerance, which is also where the solver of one task ends.
+Decomposition is for kernels whose rows have many directions, and for those that are no inner products: its
+rounds grow with the support vectors. Others go to operators/interior_kernel.py, whose rounds don't.
 
 Rows to predict are variables that may not move: they too add up kernel values, so their decision values are
 there when the fit ends, and support vectors never need to be gathered or sent. More than two classes make a
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuloom.operators import interior_kernel
 from corpuloom.operators.kernel import KERNELS, TYPES, gram, smo
 from corpuloom.session import Scratch, ship, spread
 
@@ -150,15 +153,28 @@ def _offsets(state: DataFrame, apart: bool) -> dict:
 
 def decisions(
     spark: SparkSession, problems: DataFrame, kind: str = "c_svc", kernel: str = "rbf", c: float = 1.0, nu: float = 0.5, epsilon: float = 0.1, tolerance: float = 1e-3,
-    working: int = WORKING, rounds: int = 10_000, class_weights: dict | None = None, **options,
+    working: int = WORKING, rounds: int = 10_000, class_weights: dict | None = None, rank: int = interior_kernel.RANK, **options,
 ) -> DataFrame:
-    """problem, row, z of machines fitted side by side: rows (problem, row, y, x, pos, neg, n_pos, n_neg), y null or of no class where to predict only."""
+    """problem, row, z of machines fitted side by side: rows (problem, row, y, x, pos, neg, n_pos, n_neg), y null or of no class where to predict only.
+
+    Kernels that ``rank`` rows span are solved by interior points, the rest by decomposition."""
     if kind not in TYPES or kernel not in KERNELS or kernel == "precomputed":
         raise ValueError(f"kind must be one of {TYPES}, kernel one of {KERNELS} but precomputed")
     ship(spark)
     apart = kind in ("nu_svc", "nu_svr")
     scratch = Scratch(spark, "kernel")
     begun = _started(problems, kind, c, nu, epsilon, class_weights)
+    if rank and interior_kernel.product(kernel, options):
+        solved = interior_kernel.fit(spark, begun, apart, kernel, options, tolerance, rank)
+        if solved:
+            for m in solved.values():
+                m.ratio = m.ratio if kind == "nu_svc" and abs(m.ratio) > 1e-12 else 1.0
+            here = F.col("problem").isin(list(solved))
+            z = interior_kernel.values(problems.where(here), solved, kernel, options)
+            rest = problems.where(~here)
+            if rest.isEmpty():
+                return z
+            return z.unionByName(decisions(spark, rest, kind, kernel, c, nu, epsilon, tolerance, working, rounds, class_weights, 0, **options))
     begun = begun.withColumns({"vid": F.monotonically_increasing_id(), "g": F.col("p"), "up": F.lit(False), "down": F.lit(False)})
     names = [f.name for f in _ARROW]
     state, name = scratch.table(spread(begun).select(*[F.col(n).cast(t) for n, t in zip(names, ("int", "long", "long", "double", "array<double>", "double", "double", "double", "double", "boolean", "boolean"))]), "state"), "state"

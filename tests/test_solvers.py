@@ -250,6 +250,24 @@ def test_large_kernel_decisions(spark):
         large_kernel.decisions(spark, problems, kernel="precomputed")
 
 
+@pytest.mark.parametrize("kind", ["c_svc", "one_class", "epsilon_svr"])
+def test_large_kernels_of_noise(spark, kind):
+    """Where labels say nothing and most rows are at their limits, no working set is needed; where pivots are too many they are."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.random((120, 2)) * [6, 1], rng.random((40, 2)) * [6, 1]])
+    x[100:120] = x[:20]
+    y = rng.standard_normal(160) if kind.endswith("svr") else (rng.random(160) < 0.5).astype(float)
+    y[100:120] = y[:20]
+    plus, known = int(y[:120].sum()), np.arange(160) < 120
+    rows = [(0, i, float(y[i]) if known[i] else None, x[i].tolist(), 1.0, 0.0, plus, 120 - plus) for i in range(160)]
+    problems = spark.createDataFrame(rows, "problem int, row long, y double, x array<double>, pos double, neg double, n_pos long, n_neg long").repartition(3)
+    options = {"kind": kind, "kernel": "rbf", "gamma": 0.5, "nu": 0.4, "tolerance": 1e-3}
+    want = kernel.train(x[known], y[known], **{k: v for k, v in options.items() if k != "tolerance"}).decision(x)
+    for more in ({"rounds": 0}, {"rank": 5, "working": 64}):
+        got = {r["row"]: r["z"] for r in large_kernel.decisions(spark, problems, **options, **more).collect()}
+        assert [got[i] for i in range(160)] == pytest.approx(want.tolist(), abs=0.02), more
+
+
 def test_large_kernel_classes(spark):
     df = _groups(spark, "c_svc", classes=3)
     options = {"gamma": 0.8, "c": 5.0}
