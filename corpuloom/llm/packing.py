@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import json
 import re
+import string
+import struct
 import zlib
 from functools import partial
 
@@ -31,10 +33,14 @@ from corpuloom.llm.common import own
 from corpuloom.session import Scratch, ship
 
 CAPACITY, GRAIN, SEPARATOR = 2048, 16, 1
-CACHE = 700_000
+#: Words kept in each of two generations.
+CACHE = 400_000
 #: Lower-case letters of one code point each, alike in every Unicode form.
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-_TAIL = b".,;:!?"
+#: What ASCII text is cut into, lower-cased and without apostrophes, which begin contractions.
+_RUNS = re.compile(b"[a-z]+|[0-9]|[^a-z0-9]+")
+_TAIL = string.punctuation.encode()
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(65)]
 #: Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
@@ -47,14 +53,17 @@ class Words(dict):
     Where the tokenizer lower-cases, cuts at white space and then into runs of letters, single
     digits and runs of the rest, a text's ids are those of its words in a row, so words are looked
     up; a word of letters alone goes straight to the tokenizer's model, and punctuation behind it is
-    a piece of its own. Special tokens are found in raw text: texts that hold "<|" go through
-    whole, as do all texts of tokenizers of another build.
+    a piece of its own; other ASCII words are put together from their runs. Words not met since the
+    last but one generation began are forgotten, so common ones stay known however many rare ones
+    come. Special tokens are found in raw text: texts that hold "<|" go through whole, as do all
+    texts of tokenizers of another build.
     """
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         made = json.loads(self.tokenizer.to_str())
@@ -71,17 +80,26 @@ class Words(dict):
     def _encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _of_letters(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece)
+        if len(tokens) < len(_PACK):
+            return _PACK[len(tokens)](*[t.id for t in tokens])
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_TAIL)
-        if _LETTERS.fullmatch(core.decode().lower()):
-            if core != word:
-                ids = self[core] + self[word[len(core) :]]
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(_TAIL)
+            if core.isalpha():  # ASCII letters, of the bytes
+                ids = self._of_letters(core.decode().lower()) if core == word else self[core] + self[word[len(core) :]]
+            elif core and _LETTERS.fullmatch(lower := core.decode().lower()):
+                ids = self._of_letters(lower.encode().decode("latin-1").translate(_BYTES)) if core == word else self[core] + self[word[len(core) :]]
+            elif core and word.isascii() and b"'" not in word and len(runs := _RUNS.findall(word.lower())) > 1:
+                ids = b"".join(map(self.__getitem__, runs))
             else:
-                piece = core.decode().lower().encode().decode("latin-1").translate(_BYTES)
-                ids = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
-        else:
-            ids = self._encoded(word.decode())
+                ids = self._encoded(word.decode())
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids

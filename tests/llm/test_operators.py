@@ -1,6 +1,7 @@
 """The operators against plain versions, on the smallest tables and on awkward rows."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -577,3 +578,24 @@ def test_op10_language(spark, docs):
             right.append(p["lang_pred"] == r["lang"])
     if len(rows) == 200:
         assert np.mean(right) > 0.95 and sum(r["rejected"] for r in got) <= 2
+
+
+def test_words_of_any_kind(monkeypatch):
+    """Words in runs and generations of few words give the tokenizer's ids; rare words don't push out common ones."""
+    rng = random.Random(3)
+    words = packing.Words(packing.vocabulary())
+    monkeypatch.setattr(packing, "CACHE", 40)
+    alphabet = "abcXYZ0129.,'&$#*<|>_-\"\u00e9\u00c9\u00df\u0130\x1c"
+    for _ in range(3000):
+        text = " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 12))) for _ in range(3))
+        assert words.encode(text.encode()) == words._encoded(text), text
+    seen = []
+    monkeypatch.setattr(packing.Words, "_of_letters", lambda self, piece: seen.append(piece) or b"")
+    whole = words._encoded
+    monkeypatch.setattr(packing.Words, "_encoded", lambda self, text: seen.append(text) or whole(text))
+    for i in range(30):
+        words.encode(b"common " + b" ".join(("rare" + "abcdefghij"[j % 10] * (i + 2) + "xyz"[j // 10]).encode() for j in range(30)))
+    assert seen.count("common") == 1
+    seen.clear()
+    words.encode(b"0c9f3a&&& d41d8cd98f00")
+    assert "0c9f3a&&&" not in seen and "d41d8cd98f00" not in seen
