@@ -100,3 +100,16 @@ def test_gradients_come_as_arrays(spark, monkeypatch):
     k, g = made[0].columns
     assert k.to_pylist() == [-1, 0, 1] and value == pytest.approx(0.5 * (w * w).sum() + g[0].as_py()[0])
     assert grad == pytest.approx(w.ravel() + np.array(g[1].as_py() + g[2].as_py()))
+
+
+def test_two_topic_step_reads_its_counts_once(spark, sf):
+    """The vocabulary is written once instead of being counted again for each use; rounding is that of decimals."""
+    from pyspark.sql import functions as F
+
+    from corpuloom.plans import common, model_queries
+
+    plan = model_queries.two_topic_em_step(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "len#" in line for line in plan.splitlines()) == 1
+    values = [(float(v),) for v in np.random.default_rng(2).random(500)] + [(0.0,), (1.0,), (1e-10,), (6e-10,)]
+    rows = spark.createDataFrame(values, "x double").select(F.round("x", 9).alias("a"), common.rounded(F.col("x"), 9).alias("b"))
+    assert rows.where("a <> b").count() == 0
