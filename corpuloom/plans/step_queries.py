@@ -12,9 +12,11 @@ from corpuloom.plans.common import r6
 from corpuloom.plans.registry import query
 
 
-def _beta(topics: int, size: int) -> np.ndarray:
-    raw = 1.0 + np.arange(size)[None, :] * np.arange(1, topics + 1)[:, None] % 7
-    return raw / raw.sum(1, keepdims=True)
+def _chances(topics: int, size: int) -> np.ndarray:
+    """Topics x 7: a place's chance depends on its remainder by 7, and on how many places there are."""
+    raw = 1.0 + np.arange(7)[None, :] * np.arange(1, topics + 1)[:, None] % 7
+    held = np.array([len(range(r, size, 7)) for r in range(7)])  # places by remainder
+    return raw / (raw @ held)[:, None]
 
 
 def _vocabulary(topics: int) -> str:
@@ -68,7 +70,9 @@ def htmm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuloom.plans.model_queries import sentences
 
     docs, size = sentences(spark, sf_dir)
-    got = H.likelihoods(spark, docs, H.Model(np.log(_beta(2, size)), epsilon=0.3)).where("sentences > 0")
+    # Remainders stand for the terms, so the model doesn't grow with the vocabulary.
+    rest = F.transform("stns", lambda s: F.struct(F.transform(s["idx"], lambda i: (i % 7).cast("int")).alias("idx"), s["tf"].alias("tf")))
+    got = H.likelihoods(spark, docs.withColumn("stns", rest), H.Model(np.log(_chances(2, size)), epsilon=0.3)).where("sentences > 0")
     return got.select("doc_id", "sentences", r6(F.col("ll") / F.col("sentences"), "per_sentence"))
 
 

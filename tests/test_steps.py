@@ -113,3 +113,18 @@ def test_two_topic_step_reads_its_counts_once(spark, sf):
     values = [(float(v),) for v in np.random.default_rng(2).random(500)] + [(0.0,), (1.0,), (1e-10,), (6e-10,)]
     rows = spark.createDataFrame(values, "x double").select(F.round("x", 9).alias("a"), common.rounded(F.col("x"), 9).alias("b"))
     assert rows.where("a <> b").count() == 0
+
+
+def test_sequence_models_know_every_term(spark, tmp_path):
+    """No term is left out, however many there are; the forward recursion's chances are those of the terms' places."""
+    from corpuloom.plans import model_queries, step_queries
+
+    rows = [(d, " ".join(f"w{d}x{i}" for i in range(41_000)) + ". end.") for d in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, size = model_queries.sentences(spark, str(tmp_path))
+    assert size == 205_001
+    assert [len(s["idx"]) for r in docs.collect() for s in r["stns"]] == [41_000, 1] * 5
+    place = np.arange(size)
+    for k, chances in enumerate(step_queries._chances(2, size)):
+        want = 1 + place * (k + 1) % 7
+        assert chances[place % 7] == pytest.approx(want / want.sum())
