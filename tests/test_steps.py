@@ -128,3 +128,33 @@ def test_sequence_models_know_every_term(spark, tmp_path):
     for k, chances in enumerate(step_queries._chances(2, size)):
         want = 1 + place * (k + 1) % 7
         assert chances[place % 7] == pytest.approx(want / want.sum())
+
+
+def test_semi_supervised_rounds_are_those_of_the_relational_step(spark, monkeypatch):
+    """Passes over blocks of terms give the models that joins of the counts give."""
+    from corpuloom.operators import bayes as B
+
+    rng = np.random.default_rng(5)
+    rows = [(d, f"t{t}", int(n)) for d in range(40) for t, n in enumerate(rng.poisson(0.6 + 0.5 * ((np.arange(12) + d) % 2))) if n]
+    rows += [(d, f"own{d}", 2) for d in range(40)]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    labelled = spark.createDataFrame([(d, d % 2 + 3) for d in range(8)] + [(99, 3), (0, 3)], "doc_id long, y int")  # one without a term, one twice
+    monkeypatch.setattr(B, "POSTINGS", 50)
+    hard = labelled.withColumn("q", B.F.lit(1.0))
+    model = B.train(counts.join(labelled.select("doc_id"), "doc_id", "left_semi"), hard, 0.1, 0.1)
+    for rounds in (1, 2):
+        model = B.em_step(counts, labelled, model)
+        weights, joint = B.settled(spark, counts, labelled, most=rounds, tolerance=0.0)
+        want, got = ({(r["doc_id"], r["y"]): r["log_joint"] for r in x.collect()} for x in (B.scores(counts, model), joint))
+        assert got == pytest.approx(want, rel=1e-9)
+    assert weights.groupBy("doc_id").agg(B.F.sum("q").alias("q")).where("doc_id > 0 and abs(q - 1) > 1e-9").count() == 0
+
+
+def test_semi_supervised_query_runs_until_it_settles(spark, sf, monkeypatch):
+    from corpuloom.operators import bayes as B
+    from corpuloom.plans import registry
+
+    history, whole = [], B.settled
+    monkeypatch.setattr(B, "settled", lambda *a, **k: whole(*a, **k, history=history))
+    assert registry.QUERIES["nb_semi_supervised"](spark, sf).count()
+    assert len(history) > 1 and abs(history[-1] / history[-2] - 1) < 1e-5
