@@ -158,3 +158,44 @@ def test_semi_supervised_query_runs_until_it_settles(spark, sf, monkeypatch):
     monkeypatch.setattr(B, "settled", lambda *a, **k: whole(*a, **k, history=history))
     assert registry.QUERIES["nb_semi_supervised"](spark, sf).count()
     assert len(history) > 1 and abs(history[-1] / history[-2] - 1) < 1e-5
+
+
+def test_linear_rows_keep_every_term_of_training(spark, tmp_path):
+    """However many terms there are; those of one document alone are one feature of their length."""
+    from corpuloom.plans import model_queries
+
+    words = lambda at: " ".join(f"w{i}" for i in range(at, at + 41_000))
+    texts = {0: words(0) + " common alone alone single", 1: words(0) + " " + words(50_000), 2: words(50_000) + " " + words(100_000), 4: words(100_000) + " " + words(150_000)}
+    texts |= {5: words(150_000) + " " + words(200_000), 6: words(200_000), 3: "common w0 unseen", 7: "unseen"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, d % 2) for d in texts], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows, size = model_queries._rows(spark, str(tmp_path))
+    got = {r["id"]: r for r in rows.collect()}
+    assert size == 5 * 41_000 + 2 and len(got) == 8 and len(got[7]["idx"]) == 0
+    assert len(got[0]["idx"]) == 41_002 and got[0]["idx"][-1] == size - 1  # alone, single: one feature
+    assert got[0]["val"][-1] == pytest.approx(np.hypot(np.log(3), np.log(2)))
+    assert len(got[3]["idx"]) == 2 and set(got[3]["idx"]) < set(got[0]["idx"])
+
+
+@pytest.mark.parametrize("loss", ["hinge", "multinomial"])
+def test_own_terms_as_one_feature_take_the_same_steps(loss):
+    """L-BFGS goes the same way whether a row's own features are many or one of their length, and so decides the same."""
+    from corpuloom.operators.optimize import lbfgs
+
+    rng = np.random.default_rng(4)
+    shared, own = rng.random((12, 5)), [rng.random(1 + r % 3) for r in range(12)]
+    many, one = np.zeros((12, sum(map(len, own)))), np.diag([np.linalg.norm(x) for x in own])
+    for r, at in enumerate(np.cumsum([0, *map(len, own[:-1])])):
+        many[r, at : at + len(own[r])] = own[r]
+    place = np.arange(12) % 2
+    y, outputs = (2.0 * place - 1, 1) if loss == "hinge" else (place.astype(float), 2)
+
+    def decisions(x, rounds):
+        def f(w):
+            value, d = linear._loss(loss, x @ w.reshape(outputs, -1).T, y, 0.1)
+            return 0.5 * w @ w + 0.7 * value.sum(), w + 0.7 * (d.T @ x).ravel()
+
+        return x @ lbfgs(f, np.zeros(outputs * x.shape[1]), rounds=rounds).x.reshape(outputs, -1).T
+
+    for rounds in (1, 3, 6):
+        assert decisions(np.hstack([shared, many]), rounds) == pytest.approx(decisions(np.hstack([shared, one]), rounds), abs=1e-7)
