@@ -199,3 +199,27 @@ def test_own_terms_as_one_feature_take_the_same_steps(loss):
 
     for rounds in (1, 3, 6):
         assert decisions(np.hstack([shared, many]), rounds) == pytest.approx(decisions(np.hstack([shared, one]), rounds), abs=1e-7)
+
+
+def test_logistic_fits_of_packed_steps(spark):
+    """Both outcomes end where their gradients vanish, however many steps lie in a row."""
+    from corpuloom.operators import sequence_topics as H
+
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=(60, 3)), rng.random(60), np.zeros(60)])
+    x[:, 4] = x[:, 3] * rng.random(60)
+    rows = spark.createDataFrame([(x[a:b].ravel().tolist(),) for a, b in ((0, 1), (1, 40), (40, 60))], "state array<double>")
+    got = H.logistic_fits(rows, 3, 5, [(3, None, np.zeros(4)), (4, 3, np.full(4, 3.0))])
+    design = np.column_stack([np.ones(60), x[:, :3]])
+    for w, hit, whole in zip(got, (x[:, 3], x[:, 4]), (np.ones(60), x[:, 3])):
+        assert design.T @ (whole / (1 + np.exp(-design @ w)) - hit) + 0.2 * w == pytest.approx(np.zeros(4), abs=1e-6)
+
+
+def test_htsm_runs_until_it_settles(spark, sf, monkeypatch):
+    """The registered query leaves the rounds to the operator."""
+    from corpuloom.operators import sequence_topics as H
+    from corpuloom.plans import registry
+
+    seen: dict = {}
+    monkeypatch.setattr(H, "fit", lambda spark, docs, model, **k: (seen.update(k), (model, docs.selectExpr("doc_id", "array(1d) AS theta")))[1])
+    assert registry.QUERIES["htsm"](spark, sf).count() and not seen
